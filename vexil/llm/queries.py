@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .chat import chat_digests
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import held_out, identify, train
 from .mixing import mix
+from .packing import pack, pieces
 from .pii import BASE, find_pii
 from .quality import quality
 from .url_filter import url_verdicts
@@ -32,6 +34,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    models = train(docs.where("not held_out"))
+    return identify(docs.drop("lang"), models).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    items = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -56,6 +71,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_langid": op5_langid,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
