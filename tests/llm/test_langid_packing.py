@@ -47,7 +47,8 @@ def test_langid_edges(spark):
     assert ids == [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]
 
 
-TEXTS = [None, "", "a", "It's we'll I'd x'y 'S don't 'the", "Été ÅNGSTRÖM Å é ́x ΣΑΣ οδος", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "12345 6٣٤ \U0001f600\U0001f600 ###!!", "日本語 ﬁ", "x " * 9000]
+TEXTS = [None, "", "a", "It's we'll I'd x'y 'S don't 'the", "Été ÅNGSTRÖM Å é ́x ΣΑΣ οδος", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "12345 6٣٤ \U0001f600\U0001f600 ###!!", "日本語 ﬁ", "x " * 9000,
+         "A,b;'s !'S l'eau,'t x<|endoftext|>Y <|ENDOFTEXT|> <|Ab.C", "E\u0301A\u0300.B\u0327 I\u0307x 3'd4 d'3 a\u2019s K\u212a\u00a0B,\u2026.c", "<|", "<|endoftext|>"]
 
 
 def test_tokens_round_trip(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textnum import words
+from .textnum import LOWER, SPACE, Words, joined, prefix_sums, span_hash
 
 LENGTH = 4096
 END = 1
@@ -28,8 +29,40 @@ PER_TASK = 1 << 16
 CHUNK, REMEMBERED = 4 << 20, 400_000
 
 
+#: Byte classes: 1 ASCII letters, 2 digits, 3 other ASCII, 0 what may belong with any neighbour.
+KIND = np.zeros(256, np.int8)
+KIND[:128] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+
+
+def units(texts: list[str]) -> Words:
+    """The texts in units that the tokenizer encodes alike alone and in place: words, parted further where ASCII classes meet, A-Z in lower case.
+
+    An apostrophe stays with the letters after it. A word with ``<|`` is left as it is, since it may hold a special token.
+    """
+    data, at = joined(texts)
+    kind, gap = KIND[data], SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)  # a unit starts or ends in front of this byte
+    edge[0] = edge[-1] = True
+    edge[1:-1] = (gap[1:] != gap[:-1]) | ((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ((data[:-1] != 39) | (kind[1:] != 1)))
+    low = LOWER[data]
+    odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(odd):
+        space = np.flatnonzero(gap)
+        i = np.searchsorted(space, odd)
+        for lo, hi in {(int(space[k - 1]) + 1 if k else 0, int(space[k])) for k in i.tolist()}:
+            edge[lo + 1 : hi] = False
+            low[lo:hi] = data[lo:hi]
+    cuts = np.flatnonzero(edge)
+    whole = ~gap[cuts[:-1]] if len(data) else np.zeros(0, bool)
+    start, end = cuts[:-1][whole], cuts[1:][whole]
+    doc = np.searchsorted(at, start, side="right") - 1
+    return Words(low, at, start, end, doc, np.searchsorted(start, at), span_hash(prefix_sums(low), start, end))
+
+
 class Tokens:
-    """Ids of texts word by word; the tokenizer never joins what ASCII white space parts, so each distinct word is encoded once."""
+    """Ids of texts unit by unit; each distinct unit is encoded once, and a worker remembers what it has encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,38 +72,40 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.lengths: list[int] = []
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and of each the place and number of its ids
+        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, said: list[str]) -> None:
+        new = [e.ids for e in self.tokenizer.encode_batch(said, add_special_tokens=False)]
+        count = np.fromiter(map(len, new), np.int64, len(new))
+        place = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(count.sum()))])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place, self.count = known[order], np.concatenate([self.place, place])[order], np.concatenate([self.count, count])[order]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END after it; where each starts, and the end)."""
-        w = words(texts)
+        w = units(texts)
         code, kinds = pd.factorize(w.hash)
-        if len(self.place) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.clear()
-        where = np.fromiter((self.place.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
-        new = np.flatnonzero(where < 0)
+        i = np.minimum(np.searchsorted(self.known, kinds), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[i] != kinds) if len(self.known) else np.arange(len(kinds))
         if len(new):
             first = np.full(len(kinds), len(code), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
             raw, at = w.data.tobytes(), first[new]
-            said = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-            for h, e in zip(kinds[new].tolist(), self.tokenizer.encode_batch(said, add_special_tokens=False), strict=True):
-                self.place[h] = len(self.flat)
-                self.flat.append(np.array(e.ids, np.uint32))
-            where = np.fromiter((self.place[h] for h in kinds.tolist()), np.int64, len(kinds))
-        own = [self.flat[i] for i in where]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        start = np.concatenate([[0], np.cumsum(size)])
-        vocabulary = np.concatenate([np.zeros(0, np.uint32), *own])
-        n = size[code]
+            self.learn(kinds[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            i = np.searchsorted(self.known, kinds)
+        n = self.count[i][code]
         ends = np.cumsum(n)
-        source = np.repeat(start[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        source = np.repeat(self.place[i][code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         before = np.concatenate([[0], ends])[w.first]  # ids before each text, without ENDs
         at = before + np.arange(len(before))
         out = np.full(at[-1], END, np.uint32)
-        out[np.arange(len(source)) + np.repeat(w.doc, n)] = vocabulary[source]
+        out[np.arange(len(source)) + np.repeat(w.doc, n)] = self.ids[source]
         return out, at
 
 
