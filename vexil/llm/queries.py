@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import held_out, identify, train
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack, pieces
 from .pii import BASE, find_pii
 from .quality import quality
@@ -34,6 +35,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     models = train(docs.where("not held_out"))
@@ -71,6 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,

@@ -111,7 +111,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         doc, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < n))
     for d in short:
-        x = counts[d] * _ODD
+        x = int(counts[d]) * _ODD % (1 << 64)
         for v in w.hash[w.first[d] : w.first[d + 1]]:
             x = ((x ^ int(v)) * _BASE + _ODD) % (1 << 64)
         short_hash.append(x)
