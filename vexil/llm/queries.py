@@ -16,9 +16,14 @@ from .near_dedup import near_dedup
 from .packing import pack, pieces
 from .pii import BASE, find_pii
 from .quality import quality
+from .substring_dedup import remove_repeats
 from .url_filter import url_verdicts
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def _is(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
@@ -74,6 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
