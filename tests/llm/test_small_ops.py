@@ -68,10 +68,13 @@ def test_pii_matches_brute_force(spark):
 def test_exact_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a", "x"), (5, "a", "y"), (3, "b", "z"), (4, None, "n"), (9, "", "e"), (None, "b", "q"), (7, "c", "r"), (7, "c", "r")], "doc_id long, text string, kept string")
     for bits in (1 << 16, 1 << 29):
-        got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, max_bits=bits).collect()}
+        out = exact_dedup(df, max_bits=bits).collect()
+        assert sum(r["kept"] for r in out if r["doc_id"] == 7) == 1
+        got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"], r["kept"]) for r in out}
         h = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
         assert got[1, h("a")] == (5, 2, False) and got[5, h("a")] == (5, 2, True) and got[4, h("")] == (9, 2, False)
-        assert got[None, h("b")] == (3, 2, False) and got[7, h("c")] == (7, 2, True)
+        assert got[None, h("b")] == (3, 2, False) and got[7, h("c")][:2] == (7, 2)
+        assert exact_dedup(df, max_bits=bits, with_text=True).where("kept").select("text").count() == 4
     assert exact_dedup(df.limit(0)).count() == 0
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_hash
+from .common import cut, utf8_hash
 
 MAX_BITS = 1 << 29
 SEGMENT = 1 << 16
@@ -66,15 +66,15 @@ def repeated_slots(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """Columns of ``df`` but ``text``, with keep_id, group_size, kept and text_sha256.
+def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, with_text: bool = False) -> DataFrame:
+    """Columns of ``df`` (``text`` only with ``with_text``) and keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty and equals it. Of equal texts the row with the largest id stays; a null id is less than any
-    other. Rows that repeat both text and id are one document and share its verdict. Other columns pass through, but for
-    those named like a result column, which are replaced.
+    other. Of rows that repeat both text and id one stays, whichever was written last. Columns named like results are
+    replaced. The rows that may be repeated are written to the shared folder once, with all columns that are returned.
     """
     spark = df.sparkSession
-    rows = df.withColumns({"text_sha256": utf8_hash(text)}).drop("keep_id", "group_size", "kept", *([text] if text != doc_id else []))
+    rows = df.withColumns({"text_sha256": utf8_hash(text)}).drop("keep_id", "group_size", "kept", *([] if with_text else [text]))
     h = F.xxhash64("text_sha256").alias("h")
     n = df.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * n))), 16, int(np.log2(max_bits))))
@@ -86,9 +86,12 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_b
         return pd.Series((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1)
 
     flagged = rows.withColumn("_maybe", maybe_repeated(F.xxhash64("text_sha256")))
-    out = [c for c in rows.columns] + ["keep_id", "group_size", "kept"]
+    out = [*rows.columns, "keep_id", "group_size", "kept"]
     alone = flagged.where("not _maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    some = flagged.where("_maybe")
-    groups = some.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = some.join(groups, some["text_sha256"] == groups["_sha"]).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
+    some = cut(flagged.where("_maybe").drop("_maybe")).withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("at")))
+    groups = some.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_row").alias("_last"), F.count(F.lit(1)).alias("group_size"))
+    # Only groups of two or more are joined, and from a written table: then a group that holds a third of all rows is split between tasks.
+    groups = cut(groups.where("group_size > 1"))
+    met = some.join(groups, some["text_sha256"] == groups["_sha"], "left")
+    met = met.withColumns({"keep_id": F.when(F.col("_sha").isNull(), F.col(doc_id)).otherwise(F.col("_last.id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "kept": F.col("_sha").isNull() | (F.col("_row") == F.col("_last"))})
     return alone.select(out).unionByName(met.select(out))
