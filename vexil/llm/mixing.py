@@ -71,3 +71,22 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_low")))
     out = out.withColumns({"epochs": F.col("_whole").cast("long"), "part": part.cast("long")}).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
     return out.drop("_order", "_bucket", "_s", "_b", "_sum", "_low", "_edge", "_whole", "_rest")
+
+
+def mixed(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
+    """``df`` with each document as often as mix() takes it, the last time perhaps in part: its leading words, a blank between.
+
+    ``n_chars``, where ``df`` has it, follows the text. Rows that repeat an id and text share one of their decisions.
+    """
+    rid = F.xxhash64(F.col(options.get("doc_id", "doc_id")), F.col(text))
+    plan = mix(df.withColumn("_rid", rid), text=text, carry=("_rid",), **options)
+    plan = plan.groupBy("_rid").agg(F.min(F.struct("epochs", "part", "size")).alias("_plan")).where("_plan.epochs + _plan.part > 0")
+    out = df.withColumn("_rid", rid).join(cut(plan), "_rid")
+    times = F.col("_plan.epochs") + F.when(F.col("_plan.part") > 0, 1).otherwise(0)
+    out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    cropped = (F.col("_time") > F.col("_plan.epochs")) & (F.col("_plan.part") < F.col("_plan.size"))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_plan.part").cast("int")), " ")
+    out = out.withColumn(text, F.when(cropped, words).otherwise(F.col(text)))
+    if n_chars and n_chars in df.columns:
+        out = out.withColumn(n_chars, F.when(cropped, F.length(text).cast("long")).otherwise(F.col(n_chars)))
+    return out.select(df.columns)

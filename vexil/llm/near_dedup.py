@@ -368,7 +368,7 @@ def _matched(shared):
 
 
 def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held: int = HELD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row for each row of ``df``.
+    """doc_id, n_shingles, component_id, kept and rid (hash of id and text), one row for each row of ``df``.
 
     A null text, or one without words, has no shingles and is linked with nothing: its component is its own id. A row
     with a null id takes part in its component, whose id is the least that is not null. Rows that repeat share all
@@ -393,7 +393,14 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held:
         found = components(confirm_large(docs.select("rid", "_text").join(hint(held_back), "rid")).where("a <> b"))
         confirmed = confirmed.unionByName(found.select(F.col("v").alias("cls"), F.col("label").alias("comp")))
     labels = cut(confirmed.where("comp <> cls"))
-    named = cut(rows.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp")))
+    named = cut(rows.select("doc_id", "rid", "n_shingles", "cls").join(labels, "cls", "left").select("doc_id", "rid", "n_shingles", F.coalesce("comp", "cls").alias("comp")))
     least = cut(named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("comp", "least"))
     out = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
+
+
+def near_deduped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` of which near_dedup says kept; the text of the others is found by its hash."""
+    gone = cut(near_dedup(df, text, doc_id).where("not kept").select("rid").distinct())
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda x: x)
+    return df.withColumn("rid", F.xxhash64(F.col(doc_id), text_or_empty(text))).join(hint(gone), "rid", "left_anti").select(df.columns)
