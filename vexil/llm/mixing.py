@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, text_or_empty
 
 #: Hex digits of a document's seeded order that name its bucket. Only rows of one bucket a source are sorted together.
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def word_count(text: str = "text") -> Column:
