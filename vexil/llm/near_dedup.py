@@ -5,7 +5,7 @@ signatures that differ in at most RADIUS values differ in at most ERRORS values
 a key among those made of a chunk without each choice of ERRORS values: every such pair meets. At a similarity of 0.75
 the difference is binomial with mean 16 and deviation 3.5; it exceeds RADIUS = 30 in about 1 of 60,000 pairs.
 
-Within a key, breadth-first search over signatures keeps a spanning forest instead of all pairs. Its trees join to
+Within a key, breadth-first search over signatures keeps a star for each tree instead of all pairs. The stars join to
 candidate clusters, and within each cluster the links are computed from full sets, again only as far as its components
 need them. A cluster too large for a task is peeled by pivots, and what no pivot reaches is matched in blocks.
 """
@@ -174,7 +174,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def signature_forest(buckets: DataFrame) -> DataFrame:
-    """(bucket, cls, whole, sig) -> edges a, b: a spanning forest of the pairs within RADIUS; of whole buckets, a star."""
+    """(bucket, cls, whole, sig) -> edges a, b: stars that span what pairs within RADIUS connect; of whole buckets, a star.
+
+    A star starts at its least class, so that the many keys of one family give mostly the same edges.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
@@ -187,15 +190,18 @@ def signature_forest(buckets: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, SIZE)
                 rest = np.arange(len(cls))
                 while len(rest) > 1:
-                    queue, rest = [rest[0]], rest[1:]
+                    tree, queue, rest = [rest[0]], [rest[0]], rest[1:]
                     while queue and len(rest):
                         p = queue.pop()
                         near = (sig[rest] != sig[p]).sum(1) <= RADIUS
                         if near.any():
-                            a.append(np.full(near.sum(), cls[p]))
-                            b.append(cls[rest[near]])
+                            tree.extend(rest[near].tolist())
                             queue.extend(rest[near].tolist())
                             rest = rest[~near]
+                    if len(tree) > 1:
+                        own = np.sort(cls[tree])
+                        a.append(np.full(len(own) - 1, own[0]))
+                        b.append(own[1:])
             if sum(map(len, a)) > 10_000:
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
                 a, b = [], []
