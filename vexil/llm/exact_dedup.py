@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, utf8_hash
+from .textnum import released
 
 MAX_BITS = 1 << 29
 SEGMENT = 1 << 16
@@ -58,8 +59,8 @@ def repeated_slots(hashes: DataFrame, bits: int) -> np.ndarray:
             if two.any():
                 yield pd.DataFrame({"segment": [seg], "twice": [zlib.compress(two.tobytes(), 6)]})
 
-    parts = hashes.mapInPandas(build, "segment long, once binary, twice binary")
-    rows = parts.repartition("segment").mapInPandas(merge, "segment long, twice binary").collect()
+    parts = hashes.mapInPandas(released(build), "segment long, once binary, twice binary")
+    rows = parts.repartition("segment").mapInPandas(released(merge), "segment long, twice binary").collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:  # at most bits / SEGMENT rows
         out[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)

@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textnum import released
+
 ORDER = 4
 SLOT_BITS = 20
 #: Labels are few by nature; more than this is taken for a wrong column.
 MAX_LANGUAGES = 256
 #: Characters that are held as arrays at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -104,7 +106,7 @@ def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
             yield pd.DataFrame({"lang": name, "key": keys.view(np.int64), "n": n})
 
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    return rows.mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(released(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 class Models:
@@ -207,25 +209,27 @@ def identify(df: DataFrame, models: Models | None, text: str = "text", sigmas: f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["_text"]]
-            n = len(texts)
-            pred, score, loss, bad = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-            for part in chunks(texts) if m else ():
-                doc, key, has = grams([texts[i] for i in part])
-                code, kinds = pd.factorize(key)
-                total = np.stack([np.bincount(doc, weights=m.losses(kinds, x)[code], minlength=len(part)) for x in m.langs])
-                length = np.maximum(1, np.bincount(doc, minlength=len(part)))
-                mean = total / length
-                best = mean.argmin(0)
-                low = mean[best, np.arange(len(part))]
-                share = 1 / np.exp(-(mean - low) * np.minimum(length, 50)).sum(0)
-                usual = np.array([m.usual[x] for x in m.langs])[best]
-                limit = usual[:, 0] + sigmas * np.sqrt(usual[:, 1] / length) + slack
-                pred[part], score[part] = np.where(has, np.array(m.langs, object)[best], "und"), np.where(has, np.round(share, 6), 0.0)
-                loss[part], bad[part] = np.where(has, low, np.nan), ~has | (low > limit)
-            out = b[rest].copy()
-            out["lang_pred"], out["score"], out["cross_entropy"], out["rejected"] = pred, score, loss, bad
-            yield out
+            texts = b[text] if text in rest else b["_text"]
+            texts = [t if isinstance(t, str) else "" for t in texts]
+            for part in chunks(texts):
+                n = len(part)
+                pred, score, loss, bad = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+                if m:
+                    doc, key, has = grams([texts[i] for i in part])
+                    code, kinds = pd.factorize(key)
+                    total = np.stack([np.bincount(doc, weights=m.losses(kinds, x)[code], minlength=n) for x in m.langs])
+                    length = np.maximum(1, np.bincount(doc, minlength=n))
+                    mean = total / length
+                    best = mean.argmin(0)
+                    low = mean[best, np.arange(n)]
+                    share = 1 / np.exp(-(mean - low) * np.minimum(length, 50)).sum(0)
+                    usual = np.array([m.usual[x] for x in m.langs])[best]
+                    limit = usual[:, 0] + sigmas * np.sqrt(usual[:, 1] / length) + slack
+                    pred, score = np.where(has, np.array(m.langs, object)[best], "und"), np.where(has, np.round(share, 6), 0.0)
+                    loss, bad = np.where(has, low, np.nan), ~has | (low > limit)
+                out = b[rest].iloc[part].copy()
+                out["lang_pred"], out["score"], out["cross_entropy"], out["rejected"] = pred, score, loss, bad
+                yield out
 
     out = f"{fields}, lang_pred string, score double, cross_entropy double, rejected boolean" if fields else "lang_pred string, score double, cross_entropy double, rejected boolean"
-    return df.select(*rest, F.col(text).alias("_text")).mapInPandas(run, out)
+    return df.select(*rest, *([] if text in rest else [F.col(text).alias("_text")])).mapInPandas(released(run), out)

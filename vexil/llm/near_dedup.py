@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
-from .textnum import distinct, mix, shingles, words
+from .textnum import distinct, mix, released, shingles, words
 
 SIZE, CHUNKS, ERRORS, RADIUS = 64, 16, 1, 30
 WIDTH = 5
 #: Bytes of text held as arrays at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Members of a key that one search compares; larger keys are joined whole, which adds candidates and loses none.
 SEARCHED = 20_000
 #: Shingles of a cluster, or of a block of texts, that one task holds.
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 out["n_shingles"], out["cls"], out["sig"] = n, cls.view(np.int64), sig
                 yield out
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, n_shingles long, cls long, sig binary")
+    return docs.mapInPandas(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, n_shingles long, cls long, sig binary")
 
 
 def signature_keys(classes: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def signature_keys(classes: DataFrame) -> DataFrame:
             for x in keys:
                 yield pd.DataFrame({"key": x.view(np.int64).ravel(), "cls": np.repeat(cls, CHUNKS)})
 
-    return classes.mapInPandas(run, "key long, cls long")
+    return classes.mapInPandas(released(run), "key long, cls long")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             yield frame()
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
-    return ordered.mapInPandas(run, "bucket long, cls long, whole boolean").distinct()
+    return ordered.mapInPandas(released(run), "bucket long, cls long, whole boolean").distinct()
 
 
 def signature_forest(buckets: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def signature_forest(buckets: DataFrame) -> DataFrame:
         if a:
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInPandas(run, "a long, b long").distinct()
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInPandas(released(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def confirm_small(members: DataFrame) -> DataFrame:
             cls = g["cls"].to_numpy(np.int64)
             yield pd.DataFrame({"cls": cls, "comp": least_of_component(cls, h, np.bincount(doc, minlength=len(cls)))})
 
-    return members.repartition("cluster").sortWithinPartitions("cluster", "cls").mapInPandas(run, "cls long, comp long")
+    return members.repartition("cluster").sortWithinPartitions("cluster", "cls").mapInPandas(released(run), "cls long, comp long")
 
 
 def confirm_large(members: DataFrame, rounds: int = 4) -> DataFrame:

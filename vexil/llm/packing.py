@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textnum import LOWER, SPACE, Words, joined, prefix_sums, span_hash
+from .textnum import LOWER, SPACE, Words, joined, prefix_sums, released, span_hash
 
 LENGTH = 4096
 END = 1
 #: Pieces that one task packs, about.
 PER_TASK = 1 << 16
 #: Bytes of text tokenised at once, and words whose ids a worker remembers.
-CHUNK, REMEMBERED = 4 << 20, 400_000
+CHUNK, REMEMBERED = 1 << 20, 400_000
 
 
 #: Byte classes: 1 ASCII letters, 2 digits, 3 other ASCII, 0 what may belong with any neighbour.
@@ -81,9 +81,9 @@ class Tokens:
         count = np.fromiter(map(len, new), np.int64, len(new))
         place = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(count.sum()))])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.place, self.count = known[order], np.concatenate([self.place, place])[order], np.concatenate([self.count, count])[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.place, self.count = np.insert(self.known, at, hashes[order]), np.insert(self.place, at, place[order]), np.insert(self.count, at, count[order])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END after it; where each starts, and the end)."""
@@ -136,7 +136,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
                 yield out
 
     kinds = f"{fields}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, kinds)
+    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(released(run), kinds)
 
 
 def best_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, list[int]]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Words, words
+from .textnum import Words, released, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"[#*$%&|<>]")] = True
@@ -144,4 +144,4 @@ def quality(df: DataFrame, text: str = "text", min_words: int = 10, max_covered:
                 out["base_failed"], out["kept"] = failed, ~failed & ~bad
                 yield out
 
-    return df.select(*rest, F.col(text).alias("_text")).mapInPandas(run, f"{fields}, {RESULT}" if fields else RESULT)
+    return df.select(*rest, F.col(text).alias("_text")).mapInPandas(released(run), f"{fields}, {RESULT}" if fields else RESULT)

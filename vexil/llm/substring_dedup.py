@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free, text_or_empty
-from .textnum import mix, prefix_sums, slid_hash, span_hash
+from .textnum import mix, prefix_sums, released, slid_hash, span_hash
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text held as arrays at once, and anchors that a task combines at once.
@@ -128,7 +128,7 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from combine(held)
 
-    return docs.mapInPandas(run, KINDS)
+    return docs.mapInPandas(released(run), KINDS)
 
 
 def settle(found: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def settle(found: DataFrame) -> DataFrame:
             yield from out(pd.concat(rest, ignore_index=True))
 
     rows = found.where(f"kind = {ANCHOR}").repartition("kh").sortWithinPartitions("kh", "c1", "c2")
-    return rows.mapInPandas(run, KINDS)
+    return rows.mapInPandas(released(run), KINDS)
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["kh", "rid", "pos", "l", "n", "ctx"])
 
-    return docs.join(wanted, "rid").select("rid", "_text", "asked").mapInPandas(run, "kh long, rid long, pos int, l int, n int, ctx binary")
+    return docs.join(wanted, "rid").select("rid", "_text", "asked").mapInPandas(released(run), "kh long, rid long, pos int, l int, n int, ctx binary")
 
 
 def _matrix(parts: list[bytes], width: int) -> np.ndarray:
@@ -353,7 +353,7 @@ def repeats(ctx: DataFrame, length: int, gram: int, held: int = HELD) -> DataFra
                 if len(pos):
                     yield _spans(g["rid"].to_numpy()[who[keep]], pos + lo[keep], pos + hi[keep])
 
-    return ctx.repartition("kh").sortWithinPartitions("kh").mapInPandas(run, KINDS)
+    return ctx.repartition("kh").sortWithinPartitions("kh").mapInPandas(released(run), KINDS)
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -395,4 +395,4 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             yield out
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,`end`:long>>" + (", text string" if with_text else "")
-    return docs.join(spans, "rid", "left").select("doc_id", "_text", "_spans").mapInPandas(run, kinds)
+    return docs.join(spans, "rid", "left").select("doc_id", "_text", "_spans").mapInPandas(released(run), kinds)
