@@ -496,3 +496,36 @@ def kv_prefix(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return knn_batch_l2(spark, sf)
+
+
+def _graph_quality(spark: SparkSession, sf: str, m: int, ef: int, beam: int, flat: bool, metric: str = "l2") -> DataFrame:
+    from ..operators import graph
+
+    v = scaled(spark, sf).withColumn("values", F.col("values").cast("array<float>"))
+    nodes = graph.build(v, m, ef, metric, 500, flat)
+    qs = [(f"q{n}", vector(spark, sf, n, scaled)) for n in ASKED]
+    exact = search.knn_batch(v, spark.createDataFrame(qs, "qid string, q array<double>"), metric, k=10, squared=True)
+    return search.ann_quality(graph.search(nodes, qs, 10, beam, metric), exact)
+
+
+@query
+def graph_recall_ok(spark, sf):
+    return _graph_quality(spark, sf, 24, 96, 128, True).withColumn("ok", F.col("recall") >= 0.85)
+
+
+@query
+def hnsw_recall_ok(spark, sf):
+    return _graph_quality(spark, sf, 16, 96, 128, False).withColumn("ok", F.col("recall") >= 0.95)
+
+
+@query
+def hnsw_cosine_recall_ok(spark, sf):
+    return _graph_quality(spark, sf, 16, 96, 128, False, "cosine").withColumn("ok", F.col("recall") >= 0.95)
+
+
+@query
+def hnsw_diagnostics(spark, sf):
+    from ..operators import graph
+
+    nodes = graph.build(base(spark, sf), 8, 32, segment_size=500)
+    return graph.diagnostics(nodes, 8).join(graph.reachable(nodes).select("segment", "reached"), "segment")
