@@ -23,7 +23,8 @@ def code(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def decoded(c: Column, lo: Column, hi: Column) -> Column:
-    return (lo + ((hi - lo) * c.cast("float")).cast("float") / F.lit(255).cast("float")).cast("float")
+    # SQL divides floats as doubles; the cast gives the float quotient back.
+    return lo + (((hi - lo) * c.cast("float")) / F.lit(255).cast("float")).cast("float")
 
 
 def encode_sq(vectors: DataFrame, model: DataFrame) -> DataFrame:
