@@ -26,7 +26,7 @@ END = 1
 #: Pieces that one task packs, about.
 PER_TASK = 1 << 16
 #: Bytes of text tokenised at once, and words whose ids a worker remembers.
-CHUNK, REMEMBERED = 1 << 20, 400_000
+CHUNK, REMEMBERED = 1 << 20, 2_000_000
 
 
 #: Byte classes: 1 ASCII letters, 2 digits, 3 other ASCII, 0 what may belong with any neighbour.
@@ -77,7 +77,7 @@ class Tokens:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, said: list[str]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch(said, add_special_tokens=False)]
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
         count = np.fromiter(map(len, new), np.int64, len(new))
         place = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(count.sum()))])
