@@ -23,7 +23,7 @@ SLOT_BITS = 20
 #: Labels are few by nature; more than this is taken for a wrong column.
 MAX_LANGUAGES = 256
 #: Characters that are held as arrays at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _letters: list[np.ndarray] = []
 
 

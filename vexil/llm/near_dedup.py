@@ -26,7 +26,7 @@ from .textnum import distinct, mix, released, shingles, words
 SIZE, CHUNKS, ERRORS, RADIUS = 64, 16, 1, 30
 WIDTH = 5
 #: Bytes of text held as arrays at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Members of a key that one search compares; larger keys are joined whole, which adds candidates and loses none.
 SEARCHED = 20_000
 #: Shingles of a cluster, or of a block of texts, that one task holds.

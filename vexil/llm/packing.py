@@ -26,7 +26,7 @@ END = 1
 #: Pieces that one task packs, about.
 PER_TASK = 1 << 16
 #: Bytes of text tokenised at once, and words whose ids a worker remembers.
-CHUNK, REMEMBERED = 1 << 20, 2_000_000
+CHUNK, REMEMBERED = 1 << 20, 1_000_000
 
 
 #: Byte classes: 1 ASCII letters, 2 digits, 3 other ASCII, 0 what may belong with any neighbour.
@@ -73,14 +73,17 @@ class Tokens:
 
     def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes in order, and of each the place and number of its ids
-        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.place, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.empty(1 << 23, np.uint32), 0  # grows in large steps
 
     def learn(self, hashes: np.ndarray, said: list[str]) -> None:
         new = [e.ids for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
         count = np.fromiter(map(len, new), np.int64, len(new))
-        place = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(count.sum()))])
+        place, total = self.used + np.cumsum(count) - count, int(count.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(total, 1 << 23), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(new), np.uint32, total)
+        self.used += total
         order = np.argsort(hashes)
         at = np.searchsorted(self.known, hashes[order])
         self.known, self.place, self.count = np.insert(self.known, at, hashes[order]), np.insert(self.place, at, place[order]), np.insert(self.count, at, count[order])
@@ -99,9 +102,9 @@ class Tokens:
             raw, at = w.data.tobytes(), first[new]
             self.learn(kinds[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
             i = np.searchsorted(self.known, kinds)
-        n = self.count[i][code]
+        n = self.count[i].astype(np.int64)[code]
         ends = np.cumsum(n)
-        source = np.repeat(self.place[i][code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        source = np.repeat(self.place[i].astype(np.int64)[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         before = np.concatenate([[0], ends])[w.first]  # ids before each text, without ENDs
         at = before + np.arange(len(before))
         out = np.full(at[-1], END, np.uint32)
