@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python; a batch lies in both processes at once, as Arrow and as objects.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH bytes as well as by rows, unless the session sets a bound. Long texts then need no more memory than short ones."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(BATCH))
+
+
 def free(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs; they are unreachable by then but wait for a JVM collection."""
     spark.sparkContext._jvm.System.gc()

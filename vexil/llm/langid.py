@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, small_batches
 from .textnum import released
 
 ORDER = 4
@@ -145,9 +146,8 @@ def _find(sorted_slots: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
     """Models of all languages, or None without a labelled text."""
-    from .common import cut
-
     spark = labelled.sparkSession
+    small_batches(spark)
     slot_of = {k: F.pandas_udf(_slotter(k), "long") for k in range(1, ORDER + 1)}
     level = cut(gram_counts(labelled, text, lang))
     four, entries, contexts, discounts = level, [], [], {}
@@ -201,6 +201,7 @@ def identify(df: DataFrame, models: Models | None, text: str = "text", sigmas: f
     and ``slack`` nats. Ties go to the first language by code point. Columns named like results are replaced.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(models)
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
     rest = [c for c in df.columns if c not in names or c == text]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, small_batches, text_or_empty
 from .textnum import distinct, mix, released, shingles, words
 
 SIZE, CHUNKS, ERRORS, RADIUS = 64, 16, 1, 30
@@ -380,6 +380,7 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held:
     with a null id takes part in its component, whose id is the least that is not null. Rows that repeat share all
     values. Other columns are not carried; join on the id for them.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text")).withColumn("rid", F.xxhash64("doc_id", "_text"))
     rows = cut(signatures(docs))
     some = rows.where("n_shingles > 0")

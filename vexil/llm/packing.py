@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .textnum import LOWER, SPACE, Words, joined, prefix_sums, released, span_hash
 
 LENGTH = 4096
@@ -118,6 +118,7 @@ _tokens: dict[str, Tokens] = {}
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep`` and piece, start, length, ids_crc32 (and ids) of each text's pieces. A null text is empty, and so END alone."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokens.setdefault(tokenizer, None) or Tokens(tokenizer)
