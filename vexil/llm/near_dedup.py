@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(10_000):
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # Written, so that both sides of the next join are plain exchanges and a label that many vertices share can be split.
+        better = cut(labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = better.select(F.col("v").alias("_v"), F.col("label").alias("_up"))
         jumped = better.join(up, F.col("label") == F.col("_v"), "left").select("v", "old", F.least("label", F.coalesce("_up", "label")).alias("label"))
         done = cut(jumped)
