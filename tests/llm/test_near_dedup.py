@@ -1,9 +1,11 @@
 """Near-duplicates against all pairs."""
 
 import re
+from itertools import permutations
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import vexil.llm.near_dedup as M
 from vexil.llm.near_dedup import near_dedup
@@ -92,5 +94,22 @@ def test_large_clusters(spark, monkeypatch, held):
     same(spark, family(60, 4) + EDGES, held=held)
 
 
+def test_every_pivot_order(spark, monkeypatch):
+    # P1-X-Y-P2, windows of 100 shingles shifted by 12, only neighbours linked; a cluster for each order of the hashes that choose pivots
+    monkeypatch.setattr(M, "HELD", 2000)
+    texts = [" ".join(f"w{i}" for i in range(12 * k, 12 * k + 104)) for k in range(4)]
+    cls = [r[0] for r in spark.range(1, 97).selectExpr("id").orderBy(F.xxhash64("id")).collect()]
+    rows = [(k, cls[4 * k + place], 100, texts[own]) for k, order in enumerate(permutations(range(4))) for place, own in enumerate(order)]
+    members = spark.createDataFrame(rows, "cluster long, cls long, n_shingles long, _text string")
+    label = dict(map(tuple, M.components(M.confirm_large(members).where("a <> b")).collect()))
+    assert len(label) == 96 and len({(c, label[x]) for c, x, _, _ in rows}) == 24
+
+
+def test_chain_in_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD", 600)
+    rows = [(i, " ".join(f"w{j}" for j in range(12 * i, 12 * i + 104))) for i in range(16)]
+    same(spark, rows, held=200)
+
+
 def test_empty(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -7,12 +7,14 @@ the difference is binomial with mean 16 and deviation 3.5; it exceeds RADIUS = 3
 
 Within a key, breadth-first search over signatures keeps a star for each tree instead of all pairs. The stars join to
 candidate clusters, and within each cluster the links are computed from full sets, again only as far as its components
-need them. A cluster too large for a task is peeled by pivots, and what no pivot reaches is matched in blocks.
+need them. A cluster too large for a task is peeled by pivots, and all sets outside its largest component so far are matched in
+blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -278,9 +280,11 @@ def confirm_small(members: DataFrame) -> DataFrame:
 def confirm_large(members: DataFrame, rounds: int = 4) -> DataFrame:
     """(cluster, cls, n_shingles, _text) of the clusters that no task should hold -> edges a, b.
 
-    Each round takes from each cluster one set that no pivot has reached and links all it reaches to it. What then is
-    left is broadcast in blocks of HELD shingles and matched with every set of its cluster; a block's sets are found by
-    their rarest shingles in it (a set similar at 0.75 shares one of its 25 % + 1 rarest). Only spanning edges leave a task.
+    Each round takes from each cluster one set that no pivot has reached and links all it reaches to it. Sets that
+    different pivots reached may be linked too. So all sets but those of their cluster's largest component are broadcast
+    in blocks of HELD / 2 shingles and matched with every set of their cluster in another component: of each such pair, one
+    is in a block. A block's sets are found by their rarest shingles in it (a set similar at 0.75 shares one of its
+    25 % + 1 rarest). Only spanning edges leave a task.
     """
     spark = members.sparkSession
 
@@ -306,18 +310,20 @@ def confirm_large(members: DataFrame, rounds: int = 4) -> DataFrame:
         found = cut(sets.mapInPandas(_reached(shared), "a long, b long"))
         edges.append(found)
         left = cut(left.join(found.select(F.col("b").alias("cls")), "cls", "left_anti"))
-    sized = left.join(sets, ["cluster", "cls"]).select("cluster", "cls", "h")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    joined = components(union(edges).where("a <> b")).withColumnRenamed("v", "cls")
+    sets = cut(sets.join(joined, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("comp"), "h"))
+    weights = sets.groupBy("cluster", "comp").agg(F.sum(F.length("h")).alias("_bytes"))
+    main = cut(weights.groupBy("cluster").agg(F.max_by("comp", F.struct("_bytes", "comp")).alias("_main")))
+    sized = sets.join(F.broadcast(main), "cluster").where("comp <> _main").drop("_main")
     total = sized.agg(F.sum(F.length("h"))).first()[0] or 0
     n_blocks = -(-total // (8 * HELD // 2))
     for k in range(n_blocks):
         block = sized.where(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)) == k).collect()
         if block:
-            shared = spark.sparkContext.broadcast([(r["cluster"], r["cls"], bytes(r["h"])) for r in block])
+            shared = spark.sparkContext.broadcast([(r["cluster"], r["cls"], r["comp"], bytes(r["h"])) for r in block])
             edges.append(cut(sets.mapInPandas(_matched(shared), "a long, b long")))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    return union(edges)
 
 
 def _reached(shared):
@@ -338,7 +344,7 @@ def _reached(shared):
 
 def _matched(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [np.frombuffer(h, np.uint64) for _, _, h in shared.value]
+        own = [np.frombuffer(h, np.uint64) for *_, h in shared.value]
         kinds, often = np.unique(np.concatenate(own), return_counts=True)
         index: dict[int, list[int]] = {}
         for i, h in enumerate(own):
@@ -356,7 +362,7 @@ def _matched(shared):
 
         for b in batches:
             a, to = [], []
-            for cluster, cls, h in zip(b["cluster"], b["cls"], b["h"], strict=True):
+            for cluster, cls, comp, h in zip(b["cluster"], b["cls"], b["comp"], b["h"], strict=True):
                 x = np.frombuffer(h, np.uint64)
                 at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                 tried = set()
@@ -364,9 +370,9 @@ def _matched(shared):
                     for i in index[k]:
                         if i not in tried:
                             tried.add(i)
-                            c, other, _ = shared.value[i]
-                            if c == cluster and other != cls and root(other) != root(cls) and linked(np.int64(len(np.intersect1d(x, own[i], assume_unique=True))), np.int64(len(x)), len(own[i])):
-                                parent[root(other)] = root(cls)
+                            c, other, of, _ = shared.value[i]
+                            if c == cluster and root(of) != root(comp) and linked(np.int64(len(np.intersect1d(x, own[i], assume_unique=True))), np.int64(len(x)), len(own[i])):
+                                parent[root(of)] = root(comp)
                                 a.append(other)
                                 to.append(cls)
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(to, np.int64)})
