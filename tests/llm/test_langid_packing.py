@@ -34,6 +34,25 @@ def test_langid_probabilities_sum_to_one(spark):
         assert 0.8 < p <= 1.0 + 1e-9, (ORDER, p)
 
 
+def test_langid_keeps_every_gram(spark):
+    rng = np.random.default_rng(1)
+    text = lambda n, lo, hi: "".join(map(chr, rng.integers(lo, hi, n)))
+    big = [text(50_000, 0x4E00, 0x9000) for _ in range(4)]
+    df = spark.createDataFrame([(t, "big") for t in big] + [("the cat sat on the mat " * 20, "en")], "text string, lang string")
+    m = train(df)
+    assert len(m.entries["big", ORDER][0]) == len(np.unique(grams(big)[1]))
+    other = spark.createDataFrame([(text(200, 0xAC00, 0xD000),)], "text string")
+    assert identify(other, m).first()["rejected"]
+
+
+def test_langid_letters_of_other_planes():
+    texts = ["a\U00020061a", "aaa", "\U00020061\U00010330"]
+    doc, key, has = grams(texts)
+    assert has.all() and np.bincount(doc).tolist() == [4, 3, 4]
+    units = [np.frombuffer(t.encode("utf-16-le"), np.uint16).tolist() for t in texts]
+    assert (key & np.uint64(0xFFFF)).tolist() == sum(units, [])
+
+
 def test_langid_edges(spark):
     rows = [(1, "the thing", "en"), (2, None, "en"), (3, "", None), (4, "12 !?", "de"), (5, "der die das", "de"), (6, "das der", None), (None, "x" * 100_000, None), (6, "das der", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumnRenamed("score", "lang")

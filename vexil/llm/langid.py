@@ -1,8 +1,9 @@
 """Language identification with interpolated Kneser-Ney models of characters, one for each language.
 
 Training counts every character 4-gram of every labelled text; each partition first adds up its own. Lower orders are
-continuation counts of the next higher one. The models are sorted arrays of 20-bit hashes, so that for each language and
-order there are at most 2**SLOT_BITS entries and as many contexts: that bounds what is collected and broadcast. A text
+continuation counts of the next higher one. The models are sorted arrays of the n-grams themselves, 16 bits a character,
+so no two n-grams share a count; they are collected and broadcast, and grow with the distinct n-grams of the labelled
+texts. A character beyond U+FFFF counts as its two UTF-16 units, which are no letters by themselves. A text
 gets the language of least cross-entropy a character. It is rejected where that lies further above the language's own
 cross-entropy, over all training counts, than its length explains.
 """
@@ -20,7 +21,6 @@ from .common import cut, small_batches
 from .textnum import released
 
 ORDER = 4
-SLOT_BITS = 20
 #: Labels are few by nature; more than this is taken for a wrong column.
 MAX_LANGUAGES = 256
 #: Characters that are held as arrays at once.
@@ -48,8 +48,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[1:] = doc[1:] != doc[:-1]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1] & ~first[1:]
-    c = np.where(is_letter, codes, 32)[keep].astype(np.uint64) & np.uint64(0xFFFF)
-    doc = doc[keep]
+    c, doc = np.where(is_letter, codes, 32)[keep].astype(np.uint64), doc[keep]
+    wide = c > 0xFFFF
+    if wide.any():
+        again = np.repeat(np.arange(len(c)), 1 + wide)
+        c, doc, wide = c[again], doc[again], wide[again]
+        second = np.zeros(len(c), bool)
+        second[1:] = again[1:] == again[:-1]
+        rest = c - np.uint64(0x10000)
+        units = np.where(second, np.uint64(0xDC00) | rest & np.uint64(0x3FF), np.uint64(0xD800) | rest >> np.uint64(10))
+        c = np.where(wide, units, c)
     key = c.copy()
     for back in (1, 2, 3):
         before = np.full(len(c), 32, np.uint64)
@@ -66,13 +74,6 @@ def chunks(texts: list[str]) -> Iterator[np.ndarray]:
         yield from np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1)
 
 
-def slots(key: np.ndarray, order: int) -> np.ndarray:
-    h = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * 0xD1342543DE82EF95 % (1 << 64))
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def _low(key: np.ndarray, order: int) -> np.ndarray:
     return key & np.uint64((1 << 16 * order) - 1)
 
@@ -111,18 +112,18 @@ def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Models:
-    """Sorted hash arrays: for each language and order, entries (slot, discounted count) and contexts (slot, 1 / total, share left to the lower order)."""
+    """Sorted arrays: for each language and order, entries (n-gram, discounted count) and contexts (what stands before, 1 / total, share left to the lower order)."""
 
     def __init__(self, entries: pd.DataFrame, contexts: pd.DataFrame, discounts: dict[tuple[str, int], float]):
         self.langs = sorted(entries["lang"].unique())
         self.entries, self.contexts = {}, {}
         for (lang, order), g in entries.groupby(["lang", "k"]):
-            g, d = g.sort_values("slot"), discounts[lang, order]
-            self.entries[lang, order] = (g["slot"].to_numpy(np.int64), np.maximum(g["n"].to_numpy(float) - d, 0.0))
+            g, d = _by_key(g), discounts[lang, order]
+            self.entries[lang, order] = (_unsigned(g), np.maximum(g["n"].to_numpy(float) - d, 0.0))
         for (lang, order), g in contexts.groupby(["lang", "k"]):
-            g, d = g.sort_values("slot"), discounts[lang, order]
+            g, d = _by_key(g), discounts[lang, order]
             total = g["total"].to_numpy(float)
-            self.contexts[lang, order] = (g["slot"].to_numpy(np.int64), 1 / total, np.minimum(1.0, d * g["kinds"].to_numpy(float) / total))
+            self.contexts[lang, order] = (_unsigned(g), 1 / total, np.minimum(1.0, d * g["kinds"].to_numpy(float) / total))
         self.uniform = 1.0 / (1 + max([0, *(len(v[0]) for (_, k), v in self.entries.items() if k == 1)]))
         self.usual: dict[str, tuple[float, float]] = {}
 
@@ -132,23 +133,30 @@ class Models:
         for order in range(1, ORDER + 1):
             own = _low(key, order)
             at, inverse, left = self.contexts[lang, order]
-            i, seen = _find(at, slots(own >> np.uint64(16), order))
+            i, seen = _find(at, own >> np.uint64(16))
             at, value = self.entries[lang, order]
-            j, known = _find(at, slots(own, order))
+            j, known = _find(at, own)
             p = np.where(seen, np.where(known, value[j], 0.0) * inverse[i] + left[i] * p, p)
         return -np.log(p)
 
 
-def _find(sorted_slots: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i = np.minimum(np.searchsorted(sorted_slots, slot), len(sorted_slots) - 1)
-    return i, sorted_slots[i] == slot
+def _unsigned(g: pd.DataFrame) -> np.ndarray:
+    return g["key"].to_numpy(np.int64).view(np.uint64)
+
+
+def _by_key(g: pd.DataFrame) -> pd.DataFrame:
+    return g.iloc[np.argsort(_unsigned(g))]
+
+
+def _find(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
+    return i, sorted_keys[i] == key
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
     """Models of all languages, or None without a labelled text."""
     spark = labelled.sparkSession
     small_batches(spark)
-    slot_of = {k: F.pandas_udf(_slotter(k), "long") for k in range(1, ORDER + 1)}
     level = cut(gram_counts(labelled, text, lang))
     four, entries, contexts, discounts = level, [], [], {}
     mask = {k: (1 << 16 * k) - 1 for k in (1, 2, 3)}
@@ -157,14 +165,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models
             level = level.groupBy("lang", F.col("key").bitwiseAND(F.lit(mask[k])).alias("key")).agg(F.count(F.lit(1)).alias("n"))
         for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect():
             discounts[r["lang"], k] = min(0.95, max(0.1, r["a"] / max(1, r["a"] + 2 * r["b"])))
-        entries.append(level.groupBy(F.lit(k).alias("k"), "lang", slot_of[k]("key").alias("slot")).agg(F.sum("n").alias("n")))
-        before = F.shiftrightunsigned("key", 16)
-        contexts.append(level.groupBy(F.lit(k).alias("k"), "lang", slot_of[k](before).alias("slot")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")))
+        entries.append(level.select(F.lit(k).alias("k"), "lang", "key", "n"))
+        contexts.append(level.groupBy(F.lit(k).alias("k"), "lang", F.shiftrightunsigned("key", 16).alias("key")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")))
     if len({x for x, _ in discounts}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not discounts:
         return None
-    union = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).toPandas()  # noqa: E731  at most 2**SLOT_BITS rows a language and order
+    union = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).toPandas()
     models = Models(union(entries), union(contexts), discounts)
     shared = spark.sparkContext.broadcast(models)
 
@@ -180,13 +187,6 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models
     return models
 
 
-def _slotter(order: int):
-    def slot(key: pd.Series) -> pd.Series:
-        return pd.Series(slots(key.to_numpy(np.int64).view(np.uint64), order))
-
-    return slot
-
-
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """Whether crc32(id as text) mod ``folds`` is 0; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
