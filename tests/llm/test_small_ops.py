@@ -196,6 +196,21 @@ def test_chat_digests(spark):
     assert chat_digests(df.limit(0)).count() == 0
 
 
+def last_thought_kept(turns, _=0):
+    """A system text stands before every turn; reasoning is stripped from all turns but the last."""
+    system = turns[0][1] if turns else ""
+    return "".join(f"[{system}|{r}]{t if i == len(turns) - 1 else re.sub('<think>.*</think>', '', t)};" for i, (r, t) in enumerate(turns))
+
+
+def test_chat_history_rewritten_across_blocks(spark):
+    turns = [("user", f"t{i}<think>x</think>" if i == 31 else f"t{i}") for i in range(70)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = format_chats(df, last_thought_kept).orderBy("block").collect()
+    assert [len(r["turns"]) for r in got] == [32, 32, 6] and "".join(r["formatted"] for r in got) == last_thought_kept(turns)
+    assert [32 * r["block"] + i for r in got for i in r["rewrites"]] == turn_spans(last_thought_kept, turns)[2] == [32]
+    assert [r["formatted"][s["text_start"] : s["text_end"]] for r in got for s in r["turns"]][33:] == [t for _, t in turns[33:]]
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run_on_every_row(spark, sf, name):
     out = Q.QUERIES[name](spark, sf)

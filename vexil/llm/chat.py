@@ -4,8 +4,8 @@ Successive prefixes of the turns are rendered and consecutive outputs compared:
 span. An output that doesn't start with the one before shows a template that rewrites history. Within a span, two
 renderings with other texts in the turn's place show where its text begins and ends, and so what a loss mask covers.
 
-Conversations stream through in order of their turns and are rendered in blocks of ``block`` turns, so that neither
-memory nor the quadratic cost of prefixes grows with a conversation's length.
+Conversations stream through in order of their turns; one is held whole and rendered from its first turn on, so the cost
+of its prefixes is quadratic in its length. ``block`` only cuts what is written.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,27 +81,31 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-class _Digest:
-    def __init__(self, conv: object):
-        self.conv, self.turns, self.turns_sha, self.loss, self.loss_sha, self.chars, self.rewrites = conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0
-        self.block: list[tuple[str, str]] = []
-
-    def flush(self, template: Template, trained: set[str]) -> str:
-        out, spans, rewrites = turn_spans(template, self.block, self.turns)
-        for (role, text), (_, _, lo, hi) in zip(parse(out), spans, strict=True):
-            self.turns_sha.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if role in trained:
-                seen = unescape(out[lo:hi])
-                self.loss += len(seen)
-                self.loss_sha.update(seen.encode("utf-8", "surrogatepass"))
-        self.turns += len(self.block)
-        self.chars += len(out)
-        self.rewrites += len(rewrites)
-        self.block = []
-        return out
-
-    def row(self) -> tuple:
-        return (self.conv, self.turns, self.turns_sha.hexdigest(), self.loss, self.loss_sha.hexdigest(), self.chars, self.rewrites)
+def _digest(conv: object, turns: list[tuple[str, str]], trained: set[str], template: Template) -> tuple:
+    out, spans, rewrites = turn_spans(template, turns)
+    turns_sha, loss, loss_sha = hashlib.sha256(), 0, hashlib.sha256()
+    for (role, text), (_, _, lo, hi) in zip(parse(out), spans, strict=True):
+        turns_sha.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if role in trained:
+            seen = unescape(out[lo:hi])
+            loss += len(seen)
+            loss_sha.update(seen.encode("utf-8", "surrogatepass"))
+    return (conv, len(turns), turns_sha.hexdigest(), loss, loss_sha.hexdigest(), len(out), len(rewrites))
+
+
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
+    """(conv_id, turns), where rows come in order of the conversation."""
+    now, held = None, []
+    for b in batches:
+        for c, r, t in zip(b["conv_id"], b["role"], b["text"], strict=True):
+            c = None if pd.isna(c) else int(c)
+            if held and c != now:
+                yield now, held
+                held = []
+            now = c
+            held.append((r, t))
+    if held:
+        yield now, held
 
 
 def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -112,65 +117,38 @@ def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
 def format_chats(df: DataFrame, template: Template = default_template, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = 32) -> DataFrame:
     """conv_id, block, formatted, turns: array<struct<start, end, text_start, text_end, role>>, rewrites: array<int>.
 
-    One row for each ``block`` turns of a conversation; their ``formatted`` in order are the conversation. Turns go by
-    ``turn`` (null first), then role and text; rows that repeat stay. Null role and text count as empty; rows with a null
-    id are one conversation. Other columns are not carried.
+    One row for each ``block`` turns of a conversation; their ``formatted`` in order are the template's output for the
+    whole of it. A turn's places, found in the prefix that ends with it, count from the start of its block, and
+    ``rewrites`` from its first turn. Turns go by ``turn`` (null first), then role and text; rows that repeat stay. Null
+    role and text count as empty; rows with a null id are one conversation. Other columns are not carried.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, str]] = []
-        state: dict = {"conv": None, "block": -1}
-
-        def emit() -> pd.DataFrame:
-            out, spans, rewrites = turn_spans(template, held, state["block"] * block)
-            row = {"conv_id": [state["conv"]], "block": [state["block"]], "formatted": [out], "turns": [[dict(zip(("start", "end", "text_start", "text_end", "role"), (*s, r), strict=True)) for s, (r, _) in zip(spans, held, strict=True)]], "rewrites": [rewrites]}
-            held.clear()
-            return pd.DataFrame(row).astype({"conv_id": "Int64"})
-
-        for b in batches:
-            for c, r, t in zip(b["conv_id"], b["role"], b["text"], strict=True):
-                c = None if pd.isna(c) else int(c)
-                if state["block"] < 0 or c != state["conv"] or len(held) == block:
-                    if held:
-                        yield emit()
-                    state["block"] = state["block"] + 1 if state["block"] >= 0 and c == state["conv"] else 0
-                    state["conv"] = c
-                held.append((r, t))
-        if held:
-            yield emit()
+        for conv_id, held in _conversations(batches):
+            out, spans, rewrites = turn_spans(template, held)
+            # A block starts where its first turn does, or where a later turn's change of history does.
+            cuts, least = [len(out)], len(out)
+            for lo in range((len(held) - 1) // block * block, -1, -block):
+                least = min(least, *[s[0] for s in spans[lo : lo + block]])
+                cuts.append(least if lo else 0)
+            cuts.reverse()
+            for k, (x, y) in enumerate(pairwise(cuts)):
+                own = slice(k * block, (k + 1) * block)
+                turns = [dict(zip(("start", "end", "text_start", "text_end", "role"), (*[v - x for v in s], r), strict=True)) for s, (r, _) in zip(spans[own], held[own], strict=True)]
+                row = {"conv_id": [conv_id], "block": [k], "formatted": [out[x:y]], "turns": [turns], "rewrites": [[i - k * block for i in rewrites if i // block == k]]}
+                yield pd.DataFrame(row).astype({"conv_id": "Int64"})
 
     kinds = "conv_id long, block long, formatted string, turns array<struct<start:int,`end`:int,text_start:int,text_end:int,role:string>>, rewrites array<int>"
     return _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, kinds)
 
 
-def chat_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: tuple[str, ...] = ("assistant",), block: int = 32) -> DataFrame:
+def chat_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_rewrites: read back from what default_template wrote."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: _Digest | None = None
-        done: list[tuple] = []
-
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame(done, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]).astype({"conv_id": "Int64"})
-            done.clear()
-            return out
-
-        for b in batches:
-            for c, r, t in zip(b["conv_id"], b["role"], b["text"], strict=True):
-                c = None if pd.isna(c) else int(c)
-                if now is None or c != now.conv:
-                    if now is not None:
-                        now.flush(default_template, set(trained))
-                        done.append(now.row())
-                    now = _Digest(c)
-                elif len(now.block) == block:
-                    now.flush(default_template, set(trained))
-                now.block.append((r, t))
-            if done:
-                yield frame()
-        if now is not None:
-            now.flush(default_template, set(trained))
-            done.append(now.row())
-            yield frame()
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]
+        rows = (_digest(c, turns, set(trained), default_template) for c, turns in _conversations(batches))
+        while done := list(islice(rows, 1000)):
+            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
 
     return _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long")
