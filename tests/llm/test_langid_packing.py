@@ -1,6 +1,8 @@
 """Held-out accuracy of language ID; exact token round trips and certified packing."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vexil.llm import queries as Q
-from vexil.llm.langid import ORDER, grams, held_out, identify, train
+from vexil.llm.langid import ORDER, calibrating, grams, held_out, identify, train
 from vexil.llm.packing import best_fit, lower_bound, pack, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -24,7 +26,7 @@ def test_langid_held_out_accuracy(spark):
 
 def test_langid_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([("abc abd abe", "x"), ("aaa bbb", "y")], "text string, lang string")
-    m = train(df)
+    m = train(df).shared(0).value
     doc, key, has = grams(["ab", "", "12", "Éa"])
     assert has.tolist() == [True, False, False, True] and doc.tolist() == [0, 0, 3, 3]
     seen = sorted({int(k) & 0xFFFF for k in grams(["abc abd abe aaa bbb"])[1]})
@@ -40,7 +42,7 @@ def test_langid_keeps_every_gram(spark):
     big = [text(50_000, 0x4E00, 0x9000) for _ in range(4)]
     df = spark.createDataFrame([(t, "big") for t in big] + [("the cat sat on the mat " * 20, "en")], "text string, lang string")
     m = train(df)
-    assert len(m.entries["big", ORDER][0]) == len(np.unique(grams(big)[1]))
+    assert len(m.shared(0).value.entries["big", ORDER][0]) == len(np.unique(grams(big)[1]))
     other = spark.createDataFrame([(text(200, 0xAC00, 0xD000),)], "text string")
     assert identify(other, m).first()["rejected"]
 
@@ -53,6 +55,66 @@ def test_langid_letters_of_other_planes():
     assert (key & np.uint64(0xFFFF)).tolist() == sum(units, [])
 
 
+def kneser_ney(texts):
+    """P(c | three before) by dictionaries."""
+    clean = lambda t: re.sub(r"[^\W\d_]+|[\W\d_]+", lambda m: m[0] if m[0][0].isalpha() else " ", t.lower()).lstrip(" ")
+    grams_of = lambda t: [("   " + clean(t))[i : i + 4] for i in range(len(clean(t)))]
+    levels = {4: Counter(g for t in texts for g in grams_of(t))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off = {k: min(0.95, max(0.1, sum(n == 1 for n in c.values()) / max(1, sum(n == 1 for n in c.values()) + 2 * sum(n == 2 for n in c.values())))) for k, c in levels.items()}
+
+    def p(g, uniform):
+        out = uniform
+        for k in range(1, 5):
+            own, total = g[-k:], sum(n for x, n in levels[k].items() if x[:-1] == g[-k:-1])
+            if total:
+                kinds = sum(x[:-1] == own[:-1] for x in levels[k])
+                out = max(levels[k][own] - off[k], 0) / total + min(1, off[k] * kinds / total) * out
+        return out
+
+    return grams_of, p, len(levels[1])
+
+
+def test_langid_matches_brute_force(spark):
+    t = [x for x in pq.read_table(f"{SF}/documents.parquet").to_pylist() if x["text"] and len(x["text"]) < 300][:40]
+    langs = sorted({x["lang"] for x in t if x["lang"]})
+    models = {x: kneser_ney([r["text"] for r in t if r["lang"] == x]) for x in langs}
+    uniform = 1 / (1 + max(n for _, _, n in models.values()))
+    df = spark.createDataFrame([(i, x["text"], x["lang"]) for i, x in enumerate(t)], "doc_id long, text string, lang string")
+    # a kept-out row counts nowhere
+    more = df.unionByName(spark.createDataFrame([(1000, "zzz qqq zzz", langs[0])], df.schema))
+    parted = train(df, model_rows=300)
+    assert parted.parts > 3
+    for trained in (train(more, kept_out=F.col("doc_id") == 1000), parted):
+        for r in identify(df, trained).collect():
+            want = {}
+            for x, (grams_of, p, _) in models.items():
+                g = grams_of(r["text"])
+                want[x] = -sum(np.log(p(y, uniform)) for y in g) / max(1, len(g))
+            best = min(want, key=lambda x: (round(want[x], 9), x))
+            if any(c.isalpha() for c in r["text"]):
+                assert r["lang_pred"] == best and abs(r["cross_entropy"] - want[best]) < 1e-9, r["doc_id"]
+
+
+def test_langid_rejects_junk_and_keeps_clean(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = train(docs.where(~held_out()), kept_out=calibrating())
+    assert all(0.05 <= s < 1.5 for _, _, s in m.usual.values()), m.usual
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 300)) for _ in range(50)] + ["".join(map(chr, rng.integers(0x4E00, 0x9000, 300))) for _ in range(50)]
+    assert identify(spark.createDataFrame([(t,) for t in junk], "text string"), m).where("rejected").count() == 100
+    assert identify(docs.where(held_out()), m).selectExpr("avg(cast(rejected as int))").first()[0] <= 0.02
+
+
+def test_langid_slack_is_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'")
+    m = train(docs.where(~held_out()), kept_out=calibrating())
+    assert 0.05 <= m.usual["en"][2] < 0.7
+    share = identify(docs.where(held_out() & F.col("text").rlike("[A-Za-z]")), m).selectExpr("avg(cast(rejected as int))").first()[0]
+    assert share <= 0.01
+
+
 def test_langid_edges(spark):
     rows = [(1, "the thing", "en"), (2, None, "en"), (3, "", None), (4, "12 !?", "de"), (5, "der die das", "de"), (6, "das der", None), (None, "x" * 100_000, None), (6, "das der", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumnRenamed("score", "lang")
@@ -84,6 +146,37 @@ def test_tokens_round_trip(spark):
         assert [s for _, s, _ in sorted(got[i])] == list(range(0, len(ids), 4096))
 
 
+def test_colliding_units_have_their_own_ids(spark):
+    from tests.llm.test_substring_dedup import colliding
+
+    texts = [*colliding(), " ".join(colliding())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(PATH)
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces(df, PATH, with_ids=True).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    import vexil.llm.packing as M
+    import vexil.llm.textnum as N
+
+    monkeypatch.setattr(N, "identity_hash", lambda first, second, size: first % np.uint64(3))
+    texts, t, own = [x or "" for x in TEXTS], Tokenizer.from_file(PATH), M.Tokens(PATH)
+    for part in (texts[:6], texts[6:], texts):
+        ids, at = own(part)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in part]
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    t, got = Tokenizer.from_file(path), {}
+    for r in pieces(df, path, with_ids=True).collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["ids"]))
+    for i, x in enumerate(TEXTS):
+        assert [y for _, p in sorted(got[i]) for y in p] == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+
+
 def check_packed(rows, room):
     bins = {}
     for r in rows:

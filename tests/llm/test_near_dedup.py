@@ -88,28 +88,49 @@ def test_families_and_edges(spark):
 
 
 @pytest.mark.parametrize("held", [200, 3000])
-def test_large_clusters(spark, monkeypatch, held):
-    monkeypatch.setattr(M, "HELD", held)
-    monkeypatch.setattr(M, "SEARCHED", 7)
-    same(spark, family(60, 4) + EDGES, held=held)
+def test_large_clusters(spark, held):
+    same(spark, family(60, 4) + EDGES, held=held, searched=7, named=2)
 
 
-def test_every_pivot_order(spark, monkeypatch):
+def test_every_pivot_order(spark):
     # P1-X-Y-P2, windows of 100 shingles shifted by 12, only neighbours linked; a cluster for each order of the hashes that choose pivots
-    monkeypatch.setattr(M, "HELD", 2000)
     texts = [" ".join(f"w{i}" for i in range(12 * k, 12 * k + 104)) for k in range(4)]
     cls = [r[0] for r in spark.range(1, 97).selectExpr("id").orderBy(F.xxhash64("id")).collect()]
     rows = [(k, cls[4 * k + place], 100, texts[own]) for k, order in enumerate(permutations(range(4))) for place, own in enumerate(order)]
     members = spark.createDataFrame(rows, "cluster long, cls long, n_shingles long, _text string")
-    label = dict(map(tuple, M.components(M.confirm_large(members).where("a <> b")).collect()))
-    assert len(label) == 96 and len({(c, label[x]) for c, x, _, _ in rows}) == 24
+    for rounds in (1, 4):
+        label = dict(map(tuple, M.components(M.confirm_large(members, rounds).where("a <> b")).collect()))
+        assert len(label) == 96 and len({(c, label[x]) for c, x, _, _ in rows}) == 24
 
 
-def test_chain_in_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(M, "HELD", 600)
+def test_chain_in_a_large_cluster(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(12 * i, 12 * i + 104))) for i in range(16)]
     same(spark, rows, held=200)
 
 
+def test_no_link_near_the_threshold_is_lost(spark):
+    """1,500 pairs with similarities from 0.70 to 0.82, many at 0.75 itself."""
+    import random
+
+    r, rows = random.Random(11), []
+    for i in range(1500):
+        w = [f"v{r.randrange(10**7)}" for _ in range(89)]
+        k = r.choice((11, 12, 13, 14, 15, 16))  # words replaced at the end: k shingles of 85 differ
+        if i % 3 == 0:
+            w, k = w[:88], 12  # 72 of 84 shared: 72 / 96 is 0.75
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-k] + [f"u{r.randrange(10**7)}" for _ in range(k)]))]
+    want = [x for x in brute(rows) if not x[3]]
+    assert 500 < len(want) < 1500
+    same(spark, rows)
+
+
+def test_colliding_words_make_no_link(spark):
+    from tests.llm.test_substring_dedup import colliding
+
+    a, b = colliding()
+    rest = " ".join(f"w{i}" for i in range(20))
+    same(spark, [(1, a), (2, b), (3, f"{a} {rest} {a}"), (4, f"{b} {rest} {b}"), (5, f"{a} {a} {a} {a} {a} {a}"), (6, f"{b} {b} {b} {b} {b} {b}")])
+
+
 def test_empty(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -9,7 +9,7 @@ import pytest
 
 from vexil.llm import queries as Q
 from vexil.llm.chat import chat_digests, default_template, escape, format_chats, parse, turn_spans, unescape
-from vexil.llm.exact_dedup import exact_dedup
+from vexil.llm.exact_dedup import exact_dedup, possibly_repeated
 from vexil.llm.mixing import mix
 from vexil.llm.pii import find_pii, masked
 from vexil.llm.quality import quality
@@ -67,24 +67,29 @@ def test_pii_matches_brute_force(spark):
 
 def test_exact_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a", "x"), (5, "a", "y"), (3, "b", "z"), (4, None, "n"), (9, "", "e"), (None, "b", "q"), (7, "c", "r"), (7, "c", "r")], "doc_id long, text string, kept string")
-    for bits in (1 << 16, 1 << 29):
-        out = exact_dedup(df, max_bits=bits).collect()
+    for more in ({}, {"per_task": 2}, {"broadcast_rows": 0}):
+        out = exact_dedup(df, **more).collect()
         assert sum(r["kept"] for r in out if r["doc_id"] == 7) == 1
         got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"], r["kept"]) for r in out}
         h = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
         assert got[1, h("a")] == (5, 2, False) and got[5, h("a")] == (5, 2, True) and got[4, h("")] == (9, 2, False)
         assert got[None, h("b")] == (3, 2, False) and got[7, h("c")][:2] == (7, 2)
-        assert exact_dedup(df, max_bits=bits, with_text=True).where("kept").select("text").count() == 4
+        assert exact_dedup(df, with_text=True, **more).where("kept").select("text").count() == 4
     assert exact_dedup(df.limit(0)).count() == 0
-
-
-def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
-    import vexil.llm.exact_dedup as m
-
-    df = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2000 as string) as text")
-    monkeypatch.setattr(m, "SEGMENT", 1 << 10)
-    out = exact_dedup(df, max_bits=1 << 16).selectExpr("sum(group_size)", "count(*)", "count_if(kept)").first()
-    assert tuple(out) == (2 * 2000 + 1000, 3000, 2000)
+    long = spark.range(4).selectExpr("id as doc_id", "repeat('é', 2000000 + cast(id % 2 as int)) as text")
+    assert exact_dedup(long).where("kept and group_size = 2").count() == 2
+
+
+def test_bloom_filters(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "cast(if(id < 10000, 0, id % 15000) as string) as text")
+    for per_task in (1000, 1 << 20):
+        out = exact_dedup(df, per_task=per_task).selectExpr("sum(group_size)", "count(*)", "count_if(kept)").first()
+        want = df.groupBy("text").count().selectExpr("sum(count * count)", "sum(count)", "count(*)").first()
+        assert tuple(out) == tuple(want)
+    hashes = df.selectExpr("xxhash64(text) as h")
+    twice = hashes.groupBy("h").count().where("count > 1").select("h")
+    found = possibly_repeated(hashes, 30_000, 1000)
+    assert twice.join(found, "h", "left_anti").count() == 0 and found.count() <= twice.count() + 0.02 * 30_000
 
 
 def test_mixing_meets_targets(spark):

@@ -6,7 +6,7 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
-from vexil.llm.substring_dedup import remove_repeats
+from vexil.llm.substring_dedup import maximal_repeats, remove_repeats
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,6 +69,39 @@ def test_random_texts(spark, seed, length, gram, held):
     assert same(spark, texts(seed), length, gram=gram, held=held) > 0
 
 
+@pytest.mark.parametrize(("seed", "length", "gram", "heavy"), [(6, 40, 10, 1), (7, 41, 20, 5), (8, 25, 25, 0), (9, 60, 7, 12)])
+def test_heavy_anchors(spark, seed, length, gram, heavy):
+    assert same(spark, texts(seed), length, gram=gram, heavy=heavy, named=1) > 0
+
+
+def test_hot_passage(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(65))
+    rows = [(i, " ".join(word() for _ in range(20 + i % 7)) + passage[i % 3 :] + " ".join(word() for _ in range(30))) for i in range(400)]
+    assert same(spark, rows, 400, heavy=50) > 400 * 400
+
+
+def colliding(n=1024):
+    """Two words that collide under every polynomial hash modulo 2**64."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_colliding_words(spark):
+    a, b = colliding()
+    assert same(spark, [(1, a), (2, b), (3, f"{a} x"), (4, f"y {b}"), (5, b[3:900])], 700) > 0
+
+
+def test_maximal_repeats_list_all_occurrences():
+    whole = [b"xxabcd", b"yxabce", b"zxabcf", b"zzabcd", b"qqabqq"]
+    got = {(frozenset(i.tolist()), e, d) for i, e, d in maximal_repeats([w[2:] for w in whole], [w[:2][::-1] for w in whole], 2)}
+    # abcd twice, xabc three times, abc four times, ab five times; bc or abc with one more to the left are parts of these
+    assert got == {(frozenset([0, 3]), 0, 4), (frozenset([0, 1, 2]), 1, 3), (frozenset([0, 1, 2, 3]), 0, 3), (frozenset(range(5)), 0, 2)}
+
+
 def test_text_and_empty(spark):
     df = spark.createDataFrame([(1, "é" * 300), (2, "a" + "é" * 300)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in remove_repeats(df, with_text=True).collect()}

@@ -1,14 +1,14 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass one sets, for every text hash, bits of a filter of fixed size and notes which were set before; pass two looks each
-row up. A row none of whose copies can exist goes straight to the result; only the rest shuffle, as 32-byte digests.
-The filter has ``16 * rows`` bits within [2**16, MAX_BITS], so what is broadcast is at most ``MAX_BITS / 8`` bytes. A
-larger input raises the share of false alarms, which then shuffle as well; the result never changes.
+Pass one deals the 8-byte hashes of the texts by their range of values; each task sends its own through a Bloom filter of
+``BITS`` bits a hash and keeps those that were there already. The filter's size is set by the rows a task expects, which
+``PER_TASK`` bounds, so more rows make more filters and no fuller ones. Pass two looks each row up among the hashes kept: a
+row none of whose copies can exist goes straight to the result, and only the rest shuffle, as digests. The hashes are
+broadcast while they are ``BROADCAST_ROWS`` at most; more are joined.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,82 +17,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, utf8_hash
-from .textnum import released
+from .textnum import mix, released
 
-MAX_BITS = 1 << 29
-SEGMENT = 1 << 16
+#: Bits and probes of a filter for each hash, hashes a task expects, and hashes (a long each) that are broadcast at most.
+BITS, PROBES, PER_TASK, BROADCAST_ROWS = 16, 4, 1 << 20, 1_000_000
 
 
-def _slots(h: pd.Series, bits: int) -> np.ndarray:
-    return (h.to_numpy(np.int64).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+class Bloom:
+    """Packed bits; ``seen`` says which hashes (all different) may have been there before, and adds them."""
 
+    def __init__(self, bits: int):
+        self.bits = np.zeros(bits // 8, np.uint8)
+        self.mask = np.uint64(bits - 1)
 
-def repeated_slots(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The filter's bits that more than one row sets. Partitions merge by segment of the filter."""
+    def seen(self, h: np.ndarray) -> np.ndarray:
+        one, two = mix(h + np.uint64(1)), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
+        at = [(one + np.uint64(k) * two) & self.mask for k in range(PROBES)]
+        places = [((a >> np.uint64(3)).astype(np.int64), np.uint8(1) << (a & np.uint64(7)).astype(np.uint8)) for a in at]
+        there = np.logical_and.reduce([(self.bits[i] & bit) != 0 for i, bit in places])
+        for i, bit in places:
+            np.bitwise_or.at(self.bits, i, bit)
+        return there
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+
+def possibly_repeated(hashes: DataFrame, rows: int, per_task: int = PER_TASK) -> DataFrame:
+    """h of hashes(h) that more than one row has, and a few that only one has."""
+    tasks = max(1, -(-rows // per_task))
+    bits = 1 << int(np.ceil(np.log2(max(1 << 12, BITS * -(-rows // tasks)))))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = np.sort(_slots(b["h"], bits))
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            twice[s[~new]] = True
-            s = s[new]
-            twice[s[once[s]]] = True
-            once[s] = True
-        for k in range(0, bits, SEGMENT):
-            if once[k : k + SEGMENT].any():
-                one, two = (zlib.compress(np.packbits(x[k : k + SEGMENT]).tobytes(), 1) for x in (once, twice))
-                yield pd.DataFrame({"segment": [k // SEGMENT], "once": [one], "twice": [two]})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: dict[int, list[np.ndarray]] = {}
+            h, n = np.unique(b["h"].to_numpy(), return_counts=True)
+            yield pd.DataFrame({"h": h, "again": n > 1})
+
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bloom = Bloom(bits)
         for b in batches:
-            for seg, one, two in zip(b["segment"], b["once"], b["twice"], strict=True):
-                one, two = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (one, two))
-                if seg in have:
-                    o, t = have[seg]
-                    have[seg] = [o | one, t | two | (o & one)]
-                else:
-                    have[seg] = [one, two]
-        for seg, (_, two) in have.items():
-            if two.any():
-                yield pd.DataFrame({"segment": [seg], "twice": [zlib.compress(two.tobytes(), 6)]})
-
-    parts = hashes.mapInPandas(released(build), "segment long, once binary, twice binary")
-    rows = parts.repartition("segment").mapInPandas(released(merge), "segment long, twice binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:  # at most bits / SEGMENT rows
-        out[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return out
-
-
-def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, with_text: bool = False) -> DataFrame:
+            b = b.groupby("h", as_index=False)["again"].agg(["max", "size"])
+            h = b["h"].to_numpy(np.int64)
+            there = bloom.seen(h.view(np.uint64)) | b["max"].to_numpy(bool) | (b["size"].to_numpy() > 1)
+            yield pd.DataFrame({"h": h[there]})
+
+    parts = hashes.mapInPandas(released(own), "h long, again boolean").repartition(tasks, "h")
+    return parts.mapInPandas(released(through), "h long").distinct()
+
+
+def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, per_task: int = PER_TASK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Columns of ``df`` (``text`` only with ``with_text``) and keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty and equals it. Of equal texts the row with the largest id stays; a null id is less than any
     other. Of rows that repeat both text and id one stays, whichever was written last. Columns named like results are
     replaced. The rows that may be repeated are written to the shared folder once, with all columns that are returned.
     """
-    spark = df.sparkSession
     rows = df.withColumns({"text_sha256": utf8_hash(text)}).drop("keep_id", "group_size", "kept", *([] if with_text else [text]))
-    h = F.xxhash64("text_sha256").alias("h")
-    n = df.count()
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * n))), 16, int(np.log2(max_bits))))
-    shared = spark.sparkContext.broadcast(repeated_slots(rows.select(h), bits))
-
-    @F.pandas_udf("boolean")
-    def maybe_repeated(h: pd.Series) -> pd.Series:
-        s = _slots(h, bits)
-        return pd.Series((shared.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1)
-
-    flagged = rows.withColumn("_maybe", maybe_repeated(F.xxhash64("text_sha256")))
-    out = [*rows.columns, "keep_id", "group_size", "kept"]
-    alone = flagged.where("not _maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    some = cut(flagged.where("_maybe").drop("_maybe")).withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("at")))
+    rows = rows.withColumn("_h", F.xxhash64("text_sha256"))
+    maybe = cut(possibly_repeated(rows.select(F.col("_h").alias("h")), df.count(), per_task))
+    marks = maybe.select(F.col("h").alias("_h"), F.lit(True).alias("_maybe"))
+    few = maybe.limit(broadcast_rows + 1).count() <= broadcast_rows
+    flagged = rows.join(F.broadcast(marks) if few else marks, "_h", "left").drop("_h")
+    out = [*rows.drop("_h").columns, "keep_id", "group_size", "kept"]
+    single = {"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
+    alone = flagged.where("_maybe is null").withColumns(single)
+    some = cut(flagged.where("_maybe").drop("_maybe"))
+    some = some.withColumn("_row", F.struct(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("at")))
     groups = some.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_row").alias("_last"), F.count(F.lit(1)).alias("group_size"))
     # Only groups of two or more are joined, and from a written table: then a group that holds a third of all rows is split between tasks.
     groups = cut(groups.where("group_size > 1"))
     met = some.join(groups, some["text_sha256"] == groups["_sha"], "left")
-    met = met.withColumns({"keep_id": F.when(F.col("_sha").isNull(), F.col(doc_id)).otherwise(F.col("_last.id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "kept": F.col("_sha").isNull() | (F.col("_row") == F.col("_last"))})
+    lone = F.col("_sha").isNull()
+    met = met.withColumns({
+        "keep_id": F.when(lone, F.col(doc_id)).otherwise(F.col("_last.id")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+        "kept": lone | (F.col("_row") == F.col("_last")),
+    })
     return alone.select(out).unionByName(met.select(out))

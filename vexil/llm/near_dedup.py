@@ -2,13 +2,15 @@
 
 Sets that are equal form one class. A class's signature has SIZE values of 16 bits, cut into CHUNKS chunks. Two
 signatures that differ in at most RADIUS values differ in at most ERRORS values of some chunk (pigeonhole), so they share
-a key among those made of a chunk without each choice of ERRORS values: every such pair meets. At a similarity of 0.75
-the difference is binomial with mean 16 and deviation 3.5; it exceeds RADIUS = 30 in about 1 of 60,000 pairs.
-
-Within a key, breadth-first search over signatures keeps a star for each tree instead of all pairs. The stars join to
-candidate clusters, and within each cluster the links are computed from full sets, again only as far as its components
-need them. A cluster too large for a task is peeled by pivots, and all sets outside its largest component so far are matched in
-blocks.
+a key among those made of a chunk without each choice of ERRORS values: every such pair meets. Pairs that meet are
+followed up to NEAR differences. At a similarity of 0.75 the difference is binomial with mean 16 and deviation 3.5: it
+exceeds RADIUS in about 1 of 160,000 pairs and NEAR in 1 of 10**10, and a pair beyond RADIUS still meets in all but
+1 of 10**9 cases.
+
+Within a key, breadth-first search over signatures keeps a star for each tree instead of all pairs. A key that a large
+share of the classes has is dealt to many tasks and joined whole. The stars join to candidate clusters, and within each
+cluster the links are computed from full sets, in one task as far as it holds HELD shingles, and by joins beyond: first
+with a few pivots of the cluster, and then between components by the rarest shingles of each set.
 """
 
 from __future__ import annotations
@@ -23,18 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, text_or_empty
-from .textnum import distinct, mix, released, shingles, words
+from .textnum import distinct, exact_shingles, mix, released, shingles, words
 
-SIZE, CHUNKS, ERRORS, RADIUS = 64, 16, 1, 30
+SIZE, CHUNKS, ERRORS, RADIUS, NEAR = 64, 16, 1, 31, 40
 WIDTH = 5
 #: Bytes of text held as arrays at once.
 CHUNK = 1 << 19
 #: Members of a key that one search compares; larger keys are joined whole, which adds candidates and loses none.
 SEARCHED = 20_000
-#: Shingles of a cluster, or of a block of texts, that one task holds.
-HELD = 4_000_000
-#: Rows (three longs each) up to which cluster members are broadcast.
-BROADCAST_ROWS = 500_000
+#: Classes of a key in one batch of rows that make the batch name the key, and tasks that a named key is dealt to.
+NAMED, SALTS = 8, 256
+#: Shingles of a cluster that one task holds.
+HELD = 100_000
+#: Rows (three longs each) up to which cluster members are broadcast, and bytes up to which pivots are.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Rounds of pivots in a large cluster.
+ROUNDS = 4
 
 _rng = np.random.default_rng(75)
 _A, _B = (_rng.integers(1, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -86,27 +92,44 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, n_shingles long, cls long, sig binary")
 
 
+def _keys(sigs: pd.Series) -> np.ndarray:
+    """CHUNKS * (values choose ERRORS) keys of each signature."""
+    sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, CHUNKS, _PER).astype(np.uint64)
+    out = []
+    for k, gone in enumerate(combinations(range(_PER), ERRORS)):
+        x = np.zeros(sig.shape[:2], np.uint64)
+        for v in (v for v in range(_PER) if v not in gone):
+            x = (x << np.uint64(16)) | sig[:, :, v]
+        salt = np.uint64(k * CHUNKS) + np.arange(CHUNKS, dtype=np.uint64)
+        out.append(mix(x + (salt << np.uint64(54))))
+    return np.concatenate(out, 1).view(np.int64)
+
+
 def signature_keys(classes: DataFrame) -> DataFrame:
-    """classes(cls, sig) -> key, cls: CHUNKS * (values choose ERRORS) keys a class."""
-    choices = [[v for v in range(_PER) if v not in gone] for gone in combinations(range(_PER), ERRORS)]
+    """classes(cls, sig) -> key, cls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b["sig"]), np.uint16).reshape(-1, CHUNKS, _PER).astype(np.uint64)
-            keys = []
-            for k, own in enumerate(choices):
-                x = np.zeros(sig.shape[:2], np.uint64)
-                for v in own:
-                    x = (x << np.uint64(16)) | sig[:, :, v]
-                salt = np.uint64(k * CHUNKS) + np.arange(CHUNKS, dtype=np.uint64)
-                keys.append(mix(x + (salt << np.uint64(54))))
-            cls = b["cls"].to_numpy()
-            for x in keys:
-                yield pd.DataFrame({"key": x.view(np.int64).ravel(), "cls": np.repeat(cls, CHUNKS)})
+            for lo in range(0, len(b), 1024):
+                keys = _keys(b["sig"].iloc[lo : lo + 1024])
+                yield pd.DataFrame({"key": keys.ravel(), "cls": np.repeat(b["cls"].to_numpy()[lo : lo + 1024], keys.shape[1])})
 
     return classes.mapInPandas(released(run), "key long, cls long")
 
 
+def hot_keys(classes: DataFrame, searched: int, named: int = NAMED) -> DataFrame:
+    """key, of those that batches name and more than ``searched`` classes have: one for each ``searched`` rows of keys at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                key, n = np.unique(_keys(b["sig"]), return_counts=True)
+                yield pd.DataFrame({"key": key[n >= named], "n": n[n >= named]})
+
+    counts = classes.mapInPandas(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return cut(counts.where(F.col("n") > searched).select("key"))
+
+
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Consecutive rows of each key, where rows come in order of the key."""
     held: list[pd.DataFrame] = []
@@ -124,25 +147,30 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """bucket, cls: keys with two classes or more; keys with the same classes are one bucket.
+def shared_keys(keys: DataFrame, hot: DataFrame, searched: int = SEARCHED) -> DataFrame:
+    """bucket, cls, whole: keys with two classes or more; keys with the same classes are one bucket.
 
-    Runs of up to SEARCHED rows of a key are held. A longer key is passed on as runs of which each starts with the key's
-    first class, so that joining every run whole joins the key.
+    Runs of up to ``searched`` rows of a key are held. A longer key is passed on as runs of which each starts with the key's
+    first class, so that joining every run whole joins the key. The classes of a hot key are dealt to SALTS tasks, which
+    pass theirs on in the same way, and the first of each as one more run.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, first, more = None, [], None, False
+        now, held, first, more, top = None, [], None, False, None
         out_b, out_c, out_w = [], [], []
 
-        def close() -> None:
+        def add(bucket: int, members: np.ndarray, whole: bool) -> None:
+            out_b.append(np.full(len(members), bucket))
+            out_c.append(members)
+            out_w.append(np.full(len(members), whole))
+
+        def close(last: bool) -> None:
             members = np.array(held, np.int64)
+            whole = more or len(members) > searched or top is not None
             if len(members) > 1:
-                whole = more or len(members) > SEARCHED
-                bucket = int(mix(np.array([np.add.reduce(mix(members.view(np.uint64))) + np.uint64(whole)], np.uint64)).view(np.int64)[0])
-                out_b.append(np.full(len(members), bucket))
-                out_c.append(members)
-                out_w.append(np.full(len(members), whole))
+                add(_number(np.add.reduce(mix(members.view(np.uint64))) + np.uint64(whole)), members, whole)
+            if last and top is not None:
+                add(_number(np.uint64(top & (2**64 - 1))), np.array([first], np.int64), True)
 
         def frame() -> pd.DataFrame:
             f = pd.DataFrame({"bucket": np.concatenate(out_b), "cls": np.concatenate(out_c), "whole": np.concatenate(out_w)})
@@ -150,33 +178,46 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             return f
 
         for b in batches:
-            k, c = b["key"].to_numpy(), b["cls"].to_numpy()
+            k, c, t = b["key"].to_numpy(), b["cls"].to_numpy(), b["top"]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            many = np.flatnonzero(np.diff(edges) > 1)
+            many = np.flatnonzero((np.diff(edges) > 1) | t.notna().to_numpy()[edges[:-1]]) if len(k) else ()
             ends = {0, len(edges) - 2} if len(k) else set()
-            for i in sorted(ends | set(many.tolist())):
+            for i in sorted(ends | set(np.asarray(many).tolist())):
                 own = c[edges[i] : edges[i + 1]]
                 if k[edges[i]] != now:
-                    close()
+                    close(True)
                     now, held, first, more = k[edges[i]], [], int(own[0]), False
-                for lo in range(0, len(own), SEARCHED):
-                    held.extend(own[lo : lo + SEARCHED].tolist())
-                    if len(held) > SEARCHED:
+                    top = None if pd.isna(t.iloc[edges[i]]) else int(t.iloc[edges[i]])
+                for lo in range(0, len(own), searched):
+                    held.extend(own[lo : lo + searched].tolist())
+                    if len(held) > searched:
                         more = True
-                        close()
+                        close(False)
                         held = [first]
             if out_b:
                 yield frame()
-        close()
+        close(True)
         if out_b:
             yield frame()
 
-    ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    marks = hot.withColumnRenamed("key", "top")
+    if n:
+        rows = keys.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, keys["key"] == marks["top"], "left")
+        salted = F.xxhash64("key", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+        rows = rows.select(F.when(F.col("top").isNull(), F.col("key")).otherwise(salted).alias("key"), "cls", F.col("top").cast("string").alias("top"))
+    else:
+        rows = keys.withColumn("top", F.lit(None).cast("string"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "cls")
     return ordered.mapInPandas(released(run), "bucket long, cls long, whole boolean").distinct()
 
 
+def _number(x: np.uint64) -> int:
+    return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
+
+
 def signature_forest(buckets: DataFrame) -> DataFrame:
-    """(bucket, cls, whole, sig) -> edges a, b: stars that span what pairs within RADIUS connect; of whole buckets, a star.
+    """(bucket, cls, whole, sig) -> edges a, b: stars that span what pairs within NEAR connect; of whole buckets, a star.
 
     A star starts at its least class, so that the many keys of one family give mostly the same edges.
     """
@@ -195,7 +236,7 @@ def signature_forest(buckets: DataFrame) -> DataFrame:
                     tree, queue, rest = [rest[0]], [rest[0]], rest[1:]
                     while queue and len(rest):
                         p = queue.pop()
-                        near = (sig[rest] != sig[p]).sum(1) <= RADIUS
+                        near = (sig[rest] != sig[p]).sum(1) <= NEAR
                         if near.any():
                             tree.extend(rest[near].tolist())
                             queue.extend(rest[near].tolist())
@@ -235,7 +276,7 @@ def linked(inter: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
 
 
 def least_of_component(cls: np.ndarray, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each of the sets (n[i] hashes each, in a row), the least ``cls`` of the sets reached by links.
+    """For each of the sets (n[i] numbers of shingles each, in a row), the least ``cls`` of the sets reached by links.
 
     Breadth-first search; each set met is compared with those not yet reached, so a cluster around one text costs a few scans.
     """
@@ -270,23 +311,20 @@ def confirm_small(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, "cluster"):
             g = g.drop_duplicates("cls")
-            doc, h = sets_of(g["_text"].tolist())
+            doc, own = distinct(*exact_shingles(words(g["_text"].tolist(), lower=True), WIDTH))
             cls = g["cls"].to_numpy(np.int64)
-            yield pd.DataFrame({"cls": cls, "comp": least_of_component(cls, h, np.bincount(doc, minlength=len(cls)))})
+            yield pd.DataFrame({"cls": cls, "comp": least_of_component(cls, own, np.bincount(doc, minlength=len(cls)))})
 
     return members.repartition("cluster").sortWithinPartitions("cluster", "cls").mapInPandas(released(run), "cls long, comp long")
 
 
-def confirm_large(members: DataFrame, rounds: int = 4) -> DataFrame:
+def confirm_large(members: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(cluster, cls, n_shingles, _text) of the clusters that no task should hold -> edges a, b.
 
-    Each round takes from each cluster one set that no pivot has reached and links all it reaches to it. Sets that
-    different pivots reached may be linked too. So all sets but those of their cluster's largest component are broadcast
-    in blocks of HELD / 2 shingles and matched with every set of their cluster in another component: of each such pair, one
-    is in a block. A block's sets are found by their rarest shingles in it (a set similar at 0.75 shares one of its
-    25 % + 1 rarest). Only spanning edges leave a task.
+    Each round takes from each cluster one set that no pivot has reached and joins all it reaches to it. Then only pairs
+    of different components are open. Two sets similar at 0.75 share one of the 25 % + 1 rarest shingles of each, so the
+    components' sets are joined by those, by cluster and shingle, and what meets is compared in full.
     """
-    spark = members.sparkSession
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -303,84 +341,55 @@ def confirm_large(members: DataFrame, rounds: int = 4) -> DataFrame:
     for _ in range(rounds):
         # The first by hash stands for the cluster; there are at most (all shingles / HELD) clusters of this size.
         heads = left.groupBy("cluster").agg(F.min_by("cls", F.xxhash64("cls")).alias("cls"))
-        pivots = {r["cluster"]: (r["cls"], np.frombuffer(r["h"], np.uint64)) for r in heads.join(sets, ["cluster", "cls"]).collect()}
-        if not pivots:
+        pivots = cut(heads.join(sets, ["cluster", "cls"]).select("cluster", F.col("cls").alias("a"), F.col("h").alias("ah")))
+        size = pivots.agg(F.sum(F.length("ah") + 24)).first()[0]
+        if not size:
             break
-        shared = spark.sparkContext.broadcast(pivots)
-        found = cut(sets.mapInPandas(_reached(shared), "a long, b long"))
+        met = sets.withColumnsRenamed({"cls": "b", "h": "bh"}).join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "cluster")
+        found = cut(met.mapInPandas(_linked, "a long, b long"))
         edges.append(found)
         left = cut(left.join(found.select(F.col("b").alias("cls")), "cls", "left_anti"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    joined = components(union(edges).where("a <> b")).withColumnRenamed("v", "cls")
-    sets = cut(sets.join(joined, "cls", "left").select("cluster", "cls", F.coalesce("label", "cls").alias("comp"), "h"))
-    weights = sets.groupBy("cluster", "comp").agg(F.sum(F.length("h")).alias("_bytes"))
-    main = cut(weights.groupBy("cluster").agg(F.max_by("comp", F.struct("_bytes", "comp")).alias("_main")))
-    sized = sets.join(F.broadcast(main), "cluster").where("comp <> _main").drop("_main")
-    total = sized.agg(F.sum(F.length("h"))).first()[0] or 0
-    n_blocks = -(-total // (8 * HELD // 2))
-    for k in range(n_blocks):
-        block = sized.where(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)) == k).collect()
-        if block:
-            shared = spark.sparkContext.broadcast([(r["cluster"], r["cls"], r["comp"], bytes(r["h"])) for r in block])
-            edges.append(cut(sets.mapInPandas(_matched(shared), "a long, b long")))
+    joined = components(union(edges).where("a <> b")).withColumnsRenamed({"v": "cls", "label": "comp"})
+    sets = cut(sets.join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    parted = sets.groupBy("cluster").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("cluster")
+    sets = cut(sets.join(parted, "cluster", "left_semi"))
+    rows = cut(sets.mapInPandas(_exploded, "cluster long, cls long, comp long, n int, s long"))
+    # A shingle that only one component has links none to another; what is left is ranked by how many sets have it.
+    often = rows.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
+    often = cut(often.where("_x <> _y").select("cluster", "s", "f"))
+    ranked = rows.join(often, ["cluster", "s"]).groupBy("cluster", "cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    # Of n shingles, those that other components lack come first in the order of rarity and count among the n - ceil(0.75 n) + 1.
+    own = F.col("n") - F.size("all")
+    most = F.col("n") - F.ceil(F.col("n") * 0.75) + 1 - own
+    rare = ranked.where(most > 0).select("cluster", "cls", "comp", F.explode(F.slice("all", F.lit(1), F.least(most, F.size("all")).cast("int"))).alias("x"))
+    rare = cut(rare.select("cluster", "cls", "comp", F.col("x.s").alias("s")))
+    other = rare.withColumnsRenamed({"cls": "b", "comp": "_comp"})
+    pairs = rare.withColumnRenamed("cls", "a").join(other, ["cluster", "s"]).where("comp < _comp").select("a", "b").distinct()
+    with_a = cut(pairs).join(sets.select(F.col("cls").alias("a"), F.col("h").alias("ah")), "a")
+    met = with_a.join(sets.select(F.col("cls").alias("b"), F.col("h").alias("bh")), "b")
+    edges.append(cut(met.mapInPandas(_linked, "a long, b long")))
     return union(edges)
 
 
-def _reached(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            a, to = [], []
-            for cluster, cls, h in zip(b["cluster"], b["cls"], b["h"], strict=True):
-                if cluster in shared.value:
-                    p, own = shared.value[cluster]
-                    x = np.frombuffer(h, np.uint64)
-                    if linked(np.int64(len(np.intersect1d(x, own, assume_unique=True))), np.int64(len(x)), len(own)):
-                        a.append(p)
-                        to.append(cls)
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(to, np.int64)})
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows (a, ah, b, bh), the pairs whose sets are linked."""
+    for batch in batches:
+        sure = []
+        for ah, bh in zip(batch["ah"], batch["bh"], strict=True):
+            x, y = np.frombuffer(ah, np.uint64), np.frombuffer(bh, np.uint64)
+            sure.append(bool(linked(np.int64(len(np.intersect1d(x, y, assume_unique=True))), np.int64(len(x)), len(y))))
+        yield batch[["a", "b"]][np.array(sure, bool)]
 
-    return run
 
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for cluster, cls, comp, h in zip(b["cluster"], b["cls"], b["comp"], b["h"], strict=True):
+            s = np.frombuffer(h, np.int64)
+            yield pd.DataFrame({"cluster": cluster, "cls": cls, "comp": comp, "n": np.int32(len(s)), "s": s})
 
-def _matched(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [np.frombuffer(h, np.uint64) for *_, h in shared.value]
-        kinds, often = np.unique(np.concatenate(own), return_counts=True)
-        index: dict[int, list[int]] = {}
-        for i, h in enumerate(own):
-            rare = h[np.argsort(often[np.searchsorted(kinds, h)], kind="stable")]
-            for x in rare[: len(h) - -(-75 * len(h) // 100) + 1].tolist():
-                index.setdefault(x, []).append(i)
-        keys = np.array(sorted(index), np.uint64)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
 
-        for b in batches:
-            a, to = [], []
-            for cluster, cls, comp, h in zip(b["cluster"], b["cls"], b["comp"], b["h"], strict=True):
-                x = np.frombuffer(h, np.uint64)
-                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                tried = set()
-                for k in keys[at[keys[at] == x]].tolist():
-                    for i in index[k]:
-                        if i not in tried:
-                            tried.add(i)
-                            c, other, of, _ = shared.value[i]
-                            if c == cluster and root(of) != root(comp) and linked(np.int64(len(np.intersect1d(x, own[i], assume_unique=True))), np.int64(len(x)), len(own[i])):
-                                parent[root(of)] = root(comp)
-                                a.append(other)
-                                to.append(cls)
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(to, np.int64)})
-
-    return run
-
-
-def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held: int = HELD) -> DataFrame:
+def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held: int = HELD, searched: int = SEARCHED, named: int = NAMED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rid (hash of id and text), one row for each row of ``df``.
 
     A null text, or one without words, has no shingles and is linked with nothing: its component is its own id. A row
@@ -392,7 +401,8 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held:
     rows = cut(signatures(docs))
     some = rows.where("n_shingles > 0")
     classes = cut(some.groupBy("cls").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    buckets = cut(shared_keys(signature_keys(classes.where("n_shingles > 1").select("cls", "sig"))))
+    signed = classes.where("n_shingles > 1").select("cls", "sig")
+    buckets = cut(shared_keys(signature_keys(signed), hot_keys(signed, searched, named), searched))
     edges = signature_forest(buckets.join(classes.select("cls", "sig"), "cls").select("bucket", "cls", "whole", "sig"))
     clusters = components(edges).withColumnsRenamed({"v": "cls", "label": "cluster"})
     members = cut(clusters.join(classes.select("cls", "rid", "n_shingles"), "cls"))

@@ -8,6 +8,7 @@ again, until no gap is left or one partition holds them all.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .textnum import LOWER, SPACE, Words, joined, prefix_sums, released, span_hash
+from .textnum import LOWER, SPACE, Words, joined, released, words_at
 
 LENGTH = 4096
 END = 1
@@ -57,8 +58,29 @@ def units(texts: list[str]) -> Words:
     cuts = np.flatnonzero(edge)
     whole = ~gap[cuts[:-1]] if len(data) else np.zeros(0, bool)
     start, end = cuts[:-1][whole], cuts[1:][whole]
-    doc = np.searchsorted(at, start, side="right") - 1
-    return Words(low, at, start, end, doc, np.searchsorted(start, at), span_hash(prefix_sums(low), start, end))
+    return words_at(low, at, start, end)
+
+
+#: What units() relies on: white space parts words and is dropped, case is folded, and a pattern parts words further.
+PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_units(path: str) -> bool:
+    """Whether a tokenizer's file asks for what units() relies on. Texts of others are encoded whole."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = lambda x, many: [x] if x and x["type"] != "Sequence" else (x or {}).get(many, [])
+    before = steps(said.get("normalizer"), "normalizers")
+    parts = steps(said.get("pre_tokenizer"), "pretokenizers")
+    return (
+        [x["type"] for x in before] == ["NFC", "Replace", "Lowercase"]
+        and (before[1]["pattern"], before[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+        and (parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": PARTED}, "Removed", True)
+        and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
+        and all("<|" in x["content"] and not x["lstrip"] and not x["rstrip"] for x in said["added_tokens"])
+        and not said["model"].get("dropout")
+    )
 
 
 class Tokens:
@@ -68,15 +90,29 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.parted = Tokenizer.from_file(path), by_units(path)
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes in order, and of each the place and number of its ids
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and of each the identity and the place and number of its ids
+        self.same = tuple(np.zeros(0, np.uint64) for _ in range(3))
         self.place, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.empty(1 << 23, np.uint32), 0  # grows in large steps
 
-    def learn(self, hashes: np.ndarray, said: list[str]) -> None:
+    def find(self, hashes: np.ndarray, own: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each unit is known, whether it is). Units of one hash are told apart by their identities."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        i = np.searchsorted(self.known, hashes)
+        while True:
+            j = np.minimum(i, len(self.known) - 1)
+            hit = (i == j) & (self.known[j] == hashes)
+            right = hit & np.logical_and.reduce([x[j] == y for x, y in zip(self.same, own, strict=True)])
+            if (hit == right).all():
+                return j, right
+            i = i + (hit & ~right)
+
+    def learn(self, hashes: np.ndarray, own: tuple[np.ndarray, ...], said: list[str]) -> None:
         new = [e.ids for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
         count = np.fromiter(map(len, new), np.int64, len(new))
         place, total = self.used + np.cumsum(count) - count, int(count.sum())
@@ -86,22 +122,27 @@ class Tokens:
         self.used += total
         order = np.argsort(hashes)
         at = np.searchsorted(self.known, hashes[order])
-        self.known, self.place, self.count = np.insert(self.known, at, hashes[order]), np.insert(self.place, at, place[order]), np.insert(self.count, at, count[order])
+        put = lambda have, more: np.insert(have, at, more[order])
+        self.known, self.place, self.count = put(self.known, hashes), put(self.place, place), put(self.count, count)
+        self.same = tuple(put(x, y) for x, y in zip(self.same, own, strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END after it; where each starts, and the end)."""
+        if not self.parted:
+            own = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
         w = units(texts)
-        code, kinds = pd.factorize(w.hash)
+        code, head = w.codes()
+        kinds, own = w.hash[head], (*(x[head] for x in w.identity), (w.end - w.start)[head].astype(np.uint64))
         if len(self.known) > REMEMBERED:
             self.clear()
-        i = np.minimum(np.searchsorted(self.known, kinds), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[i] != kinds) if len(self.known) else np.arange(len(kinds))
+        i, known = self.find(kinds, own)
+        new = np.flatnonzero(~known)
         if len(new):
-            first = np.full(len(kinds), len(code), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            raw, at = w.data.tobytes(), first[new]
-            self.learn(kinds[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-            i = np.searchsorted(self.known, kinds)
+            raw, at = w.data.tobytes(), head[new]
+            said = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+            self.learn(kinds[new], tuple(x[new] for x in own), said)
+            i, _ = self.find(kinds, own)
         n = self.count[i].astype(np.int64)[code]
         ends = np.cumsum(n)
         source = np.repeat(self.place[i].astype(np.int64)[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests
 from .common import table
 from .exact_dedup import exact_dedup
-from .langid import held_out, identify, train
+from .langid import calibrating, held_out, identify, train
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack, pieces
@@ -46,7 +46,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
-    models = train(docs.where("not held_out"))
+    models = train(docs.where("not held_out"), kept_out=calibrating())
     return identify(docs.drop("lang"), models).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 

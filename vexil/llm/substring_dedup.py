@@ -1,12 +1,18 @@
 """Removal of byte strings of a given length that occur anywhere else.
 
-Of the GRAM-byte strings inside each window of ``length`` bytes, the one of least hash (leftmost of equals) is the
+Of the GRAM-byte strings inside each window of ``length`` bytes, the one of least rank (leftmost of equals) is the
 window's anchor, so equal windows have equal anchors at the same place in them, and only about one byte in 150 is an
-anchor. An anchor's context is all that a window holding it can reach. Each partition first settles contexts that it
-holds twice; the rest meet by the anchor's hash, where equal contexts are settled by their digests. Only where one
-anchor has different contexts do bytes travel: there a suffix array of the contexts is scanned with a stack for its
-longest-common-prefix intervals, and in each interval whose members differ to the left, the longest common left
-extension of each member gives the maximal repeat it belongs to. Covered bytes are the union over all of them.
+anchor. An anchor's context is all that a window holding it can reach. Contexts that are equal as a whole, by 128-bit
+BLAKE2b digests, are settled first, within each partition and then by digest.
+
+Where one anchor has different contexts, their bytes travel. A suffix array of the contexts from the anchor on is scanned
+with a stack for its longest-common-prefix intervals; inside each, the same scan over the order of what stands to the left
+gives the groups with a common left extension. A group whose members also agree to the right of the interval is not
+maximal and belongs to a deeper one; the others are the maximal repeats, with all their occurrences. Covered bytes are
+the union over them.
+
+An anchor with very many contexts (a passage in ever new surroundings) is never gathered in a task: its windows, by ranges of
+their starts, are settled by digests of what all windows of a range share and of all they span, then one by one.
 """
 
 from __future__ import annotations
@@ -20,18 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free, text_or_empty
-from .textnum import mix, prefix_sums, released, slid_hash, span_hash
+from .textnum import mix, prefix_sums, released, slid_hash
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text held as arrays at once, and anchors that a task combines at once.
 CHUNK, COMBINED = 2 << 20, 2_000_000
 #: Contexts of one anchor that one suffix array holds; more are parted by what their windows share.
-HELD = 4096
+HELD = 2048
+#: Contexts of an anchor that make a partition name it, and contexts named in all from which it is settled by digests.
+NAMED, HEAVY = 8, 2048
+#: Rows of heavy anchors (a long each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 #: Contexts, about, that are handled together.
 BATCH = 12_000
 
 KINDS = "kind int, kh long, c1 long, c2 long, rid long, pos int, l int, r int, n int"
-SETTLED, ANCHOR, ASKED = 0, 1, 2
+SETTLED, ANCHOR, ASKED, MANY = 0, 1, 2, 3
 
 
 def merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +69,7 @@ def anchors(raw: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     n = len(h)
     if n < wide:
         return {}
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(32)  # the same for all texts, so that ties fall alike
     keyed = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // wide) * wide, np.uint64(2**64 - 1))
     padded[:n] = keyed
@@ -76,10 +86,10 @@ def anchors(raw: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     doc = doc_of[a]
     left = np.minimum(length - gram, a - at[doc])
     right = np.minimum(length, at[doc + 1] - a)
-    c1 = span_hash(sums, a - left, a + right, 1) + left.astype(np.uint64)
-    back = prefix_sums(np.bitwise_xor(data, 0xA5))
-    c2 = span_hash(back, a - left, a + right, 2) + left.astype(np.uint64)
-    return {"doc": doc, "pos": a - at[doc], "l": left, "r": right, "kh": h[a], "c1": mix(c1), "c2": mix(c2)}
+    whole = data.tobytes()
+    said = b"".join([hashlib.blake2b(whole[x:y], digest_size=16).digest() for x, y in zip((a - left).tolist(), (a + right).tolist(), strict=True)])
+    c = np.frombuffer(said, "<u8").reshape(-1, 2)
+    return {"doc": doc, "pos": a - at[doc], "l": left, "r": right, "kh": h[a], "c1": c[:, 0] ^ mix(left.astype(np.uint64)), "c2": c[:, 1]}
 
 
 def _frame(kind: int, rid: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, kh=0, c1=0, c2=0, n=0) -> pd.DataFrame:
@@ -93,8 +103,8 @@ def _spans(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
     return _frame(SETTLED, rid, lo, np.zeros(len(lo), np.int64), hi - lo)
 
 
-def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs(rid, _text) -> SETTLED spans of contexts that a partition holds twice, and one ANCHOR row for each context."""
+def find_anchors(docs: DataFrame, length: int, gram: int, named: int = NAMED) -> DataFrame:
+    """docs(rid, _text) -> SETTLED spans of contexts that a partition holds twice, one ANCHOR row for each context, and MANY (kh, n) of anchors with ``named`` contexts and more."""
 
     def combine(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = pd.concat(held, ignore_index=True)
@@ -110,6 +120,11 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield _spans(x["rid"].to_numpy(), (x["pos"] - x["l"]).to_numpy(), (x["pos"] + x["r"]).to_numpy())
         x = a.iloc[order[first]]
         yield _frame(ANCHOR, *(x[k].to_numpy() for k in ("rid", "pos", "l", "r", "kh", "c1", "c2")), n=np.minimum(n, 2))
+        kh, many = np.unique(x["kh"].to_numpy(), return_counts=True)
+        kh, many = kh[many >= named], many[many >= named]
+        if len(kh):
+            none = np.zeros(len(kh), np.int64)
+            yield _frame(MANY, none, none, none, none, kh, n=many)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -131,8 +146,16 @@ def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInPandas(released(run), KINDS)
 
 
-def settle(found: DataFrame) -> DataFrame:
-    """ANCHOR rows by kh -> SETTLED spans of contexts held twice, and an ASKED row for each context of an anchor that has several (n: 2 if the context itself is settled)."""
+def heavy_anchors(found: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """kh of anchors with more than ``heavy`` contexts, as far as partitions named them. There is at most one for each ``heavy`` rows."""
+    return cut(found.where(f"kind = {MANY}").groupBy("kh").agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy).select("kh"))
+
+
+def settle(found: DataFrame, heavy: DataFrame) -> DataFrame:
+    """ANCHOR rows by kh -> SETTLED spans of contexts held twice, and an ASKED row for each context of an anchor that has several (n: 2 if the context itself is settled).
+
+    Rows of a heavy anchor are dealt by their context as well. Each partition has sent a context once, so that no key is hot.
+    """
 
     def out(a: pd.DataFrame) -> Iterator[pd.DataFrame]:
         kh, c1, c2, n = (a[k].to_numpy() for k in ("kh", "c1", "c2", "n"))
@@ -147,7 +170,7 @@ def settle(found: DataFrame) -> DataFrame:
             x = a[twice]
             yield _spans(x["rid"].to_numpy(), (x["pos"] - x["l"]).to_numpy(), (x["pos"] + x["r"]).to_numpy())
         contexts = np.add.reduceat(new_c.astype(np.int64), keys)
-        several = np.repeat(contexts > 1, np.diff(np.append(keys, len(a))))[heads]
+        several = np.repeat((contexts > 1) | a["heavy"].to_numpy()[keys], np.diff(np.append(keys, len(a))))[heads]
         if several.any():
             x, own = a.iloc[heads[several]], np.minimum(total[several], 2)
             yield _frame(ASKED, *(x[k].to_numpy() for k in ("rid", "pos", "l", "r", "kh")), n=own)
@@ -166,10 +189,20 @@ def settle(found: DataFrame) -> DataFrame:
         if rest:
             yield from out(pd.concat(rest, ignore_index=True))
 
-    rows = found.where(f"kind = {ANCHOR}").repartition("kh").sortWithinPartitions("kh", "c1", "c2")
+    rows = _marked(found.where(f"kind = {ANCHOR}"), heavy)
+    rows = rows.repartition("kh", F.when(F.col("heavy"), F.col("c1"))).sortWithinPartitions("kh", "c1", "c2")
     return rows.mapInPandas(released(run), KINDS)
 
 
+def _marked(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` with ``heavy``: whether their anchor is."""
+    n = heavy.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return rows.withColumn("heavy", F.lit(False))
+    marks = heavy.withColumn("_heavy", F.lit(True))
+    return rows.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, "kh", "left").withColumn("heavy", F.col("_heavy").isNotNull()).drop("_heavy")
+
+
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """kh, rid, pos, l, n, ctx of each ASKED row; texts without any stay where they are read."""
     wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("kh", "pos", "l", "r", "n")).alias("asked"))
@@ -235,22 +268,29 @@ class _Least:
         return out
 
 
-def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """[(members, common left extension of each with another member, common right)] with left + right >= ``length``.
+def _sorted(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix of each with the one before it)."""
+    size = np.array(list(map(len, parts)))
+    order = np.array(sorted(range(len(parts)), key=parts.__getitem__))
+    lcp = np.zeros(len(parts), np.int64)
+    lcp[1:] = _common(_matrix(parts, max(1, int(size.max()))), size, order[:-1], order[1:])
+    return order, lcp
 
-    ``right`` are the contexts from the anchor on, ``left`` those before it, reversed.
+
+def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[tuple[np.ndarray, int, int]]:
+    """[(all occurrences, common left extension, common right)] of the maximal repeats of ``length`` bytes and more.
+
+    ``right`` are the contexts from the anchor on, ``left`` those before it, reversed. An interval of the suffix array is a
+    set that agrees to the right as far as it can; an interval of the left order within it is a subset whose members differ
+    in the byte to the left of what they share. Those that agree further to the right are left to a deeper interval.
     """
     m = len(right)
-    r_size, l_size = np.array(list(map(len, right))), np.array(list(map(len, left)))
-    order = np.array(sorted(range(m), key=right.__getitem__))
-    lcp = np.zeros(m, np.int64)
-    lcp[1:] = _common(_matrix(right, max(1, int(r_size.max()))), r_size, order[:-1], order[1:])
-    by_left = np.array(sorted(range(m), key=left.__getitem__))
-    left_lcp = np.zeros(m, np.int64)
-    left_lcp[1:] = _common(_matrix(left, max(1, int(l_size.max()))), l_size, by_left[:-1], by_left[1:])
-    rank = np.empty(m, np.int64)
-    rank[by_left] = np.arange(m)
-    least, out = _Least(left_lcp), []
+    l_size = np.array(list(map(len, left)))
+    order, lcp = _sorted(right)
+    by_left, left_lcp = _sorted(left)
+    rank, place = np.empty(m, np.int64), np.empty(m, np.int64)
+    rank[by_left], place[order] = np.arange(m), np.arange(m)
+    near_left, near_right, out = _Least(left_lcp), _Least(lcp), []
     for depth, first, last in _intervals(lcp):
         if last == first:
             continue
@@ -259,11 +299,14 @@ def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[
         if len(own) < 2:
             continue
         own = own[np.argsort(rank[own])]
-        near = least(rank[own[:-1]] + 1, rank[own[1:]])
-        ext = np.maximum(np.append(0, near), np.append(near, 0))
-        good = ext + depth >= length
-        if good.any():
-            out.append((own[good], ext[good], depth))
+        common = np.append(0, near_left(rank[own[:-1]] + 1, rank[own[1:]]))
+        if not (common[1:] + depth >= length).any():
+            continue
+        groups = [(e, a, b) for e, a, b in _intervals(common) if b > a and e + depth >= length]
+        lo = np.array([place[own[a : b + 1]].min() for _, a, b in groups])
+        hi = np.array([place[own[a : b + 1]].max() for _, a, b in groups])
+        diverse = near_right(lo + 1, hi) == depth
+        out += [(own[a : b + 1], e, depth) for (e, a, b), d in zip(groups, diverse.tolist(), strict=True) if d]
     return out
 
 
@@ -301,15 +344,62 @@ def cover(ctx: list[bytes], left: np.ndarray, length: int, gram: int, span: tupl
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
-def _flat(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(found: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, np.int64)
     return (
         np.concatenate([empty, *(i for i, _, _ in found)]),
-        np.concatenate([empty, *(-e for _, e, _ in found)]),
+        np.concatenate([empty, *(np.full(len(i), -e, np.int64) for i, e, _ in found)]),
         np.concatenate([empty, *(np.full(len(i), d, np.int64) for i, _, d in found)]),
     )
 
 
+def heavy_repeats(ctx: DataFrame, length: int, gram: int) -> DataFrame:
+    """SETTLED spans of the contexts of heavy anchors, by digests alone; rows of one digest never meet in a task.
+
+    Windows start 0 to length - gram bytes before the anchor. Those that start lo to hi before it all hold the bytes from
+    lo before it to length - hi after it; a context whose bytes there are its own has no repeat among them. All they span
+    is hi before to length - lo after; a context that shares it with another has a repeat in each. Ranges for which neither
+    holds are settled window by window.
+    """
+    step = int(np.ceil(np.sqrt(length - gram + 1)))
+    ranges = [(lo, min(lo + step - 1, length - gram)) for lo in range(0, length - gram + 1, step)]
+    inside, whole = 0, 1
+
+    def digests(one_by_one: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for rid, pos, left, c, asked in zip(b["rid"], b["pos"], b["l"], b["ctx"], b["ranges"], strict=True):
+                    for lo, hi in ((x, x) for k in asked for x in range(ranges[k][0], ranges[k][1] + 1)) if one_by_one else ranges:
+                        for kind, a, z in ((inside, lo, length - hi), (whole, hi, length - lo))[: 1 + (hi > lo)]:
+                            if left >= a and len(c) - left >= z:
+                                d = hashlib.blake2b(c[left - a : left + z], digest_size=16, salt=lo.to_bytes(4, "little") + bytes([kind])).digest()
+                                out.append((d, rid, pos, lo, hi, kind))
+                yield pd.DataFrame(out, columns=["d", "rid", "pos", "lo", "hi", "part"])
+
+        return run
+
+    def shared(rows: DataFrame, one_by_one: bool) -> DataFrame:
+        own = cut(rows.mapInPandas(released(digests(one_by_one)), "d binary, rid long, pos int, lo int, hi int, part int"))
+        often = cut(own.groupBy("d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("d"))
+        return own.join(often, "d", "left_semi")
+
+    ctx = ctx.withColumn("ranges", F.array().cast("array<int>"))
+    found = cut(shared(ctx, False))
+    place = ["rid", "pos", "lo"]
+    spanned = found.where(f"part = {whole}").select(*place, F.col("d").alias("d_whole"))
+    both = cut(found.where(f"part = {inside}").join(spanned, place, "left"))
+    settled, open_ = both.where("d_whole is not null"), both.where("d_whole is null")
+    # A window of an open range may be shared with a context whose range is settled: one of each such kind stands for all.
+    kinds = settled.groupBy("d_whole").agg(F.min(F.struct(*place, "d")).alias("r")).select("r.*")
+    partners = kinds.join(open_.select("d").distinct(), "d", "left_semi")
+    asked = open_.select(place).unionByName(partners.select(place)).groupBy("rid", "pos").agg(F.collect_list((F.col("lo") / step).cast("int")).alias("ranges"))
+    single = shared(ctx.drop("ranges").join(asked, ["rid", "pos"]).select(ctx.columns), True)
+    spans = settled.select("rid", "pos", "lo", "hi").unionByName(single.select("rid", "pos", "lo", "hi"))
+    zero = F.lit(0).cast("long")
+    return spans.select(F.lit(SETTLED).alias("kind"), zero.alias("kh"), zero.alias("c1"), zero.alias("c2"), "rid", (F.col("pos") - F.col("hi")).alias("pos"), F.lit(0).alias("l"), (F.col("hi") - F.col("lo") + length).alias("r"), F.lit(1).alias("n"))
+
+
 def repeats(ctx: DataFrame, length: int, gram: int, held: int = HELD) -> DataFrame:
     """SETTLED spans of contexts that share only a part with others of their anchor."""
 
@@ -361,7 +451,7 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, held: int = HELD, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, held: int = HELD, heavy: int = HEAVY, named: int = NAMED, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges: array<struct<start, end>>), and the rest of the text with ``with_text``.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else, in this or another row, is removed.
@@ -371,10 +461,15 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text")).withColumn("rid", F.xxhash64("doc_id", "_text"))
     long = docs.select("rid", "_text").where(F.octet_length("_text") >= length)
-    found = cut(find_anchors(long, length, gram))
-    settled = cut(settle(found))
+    found = cut(find_anchors(long, length, gram, named))
+    many = heavy_anchors(found, heavy)
+    settled = cut(settle(found, many))
     free(spark)
-    shared = cut(repeats(contexts(long, settled.where(f"kind = {ASKED}")), length, gram, held))
+    asked = _marked(settled.where(f"kind = {ASKED}"), many)
+    shared = cut(repeats(contexts(long, asked.where("not heavy")), length, gram, held))
+    if many.limit(1).count():
+        hot = cut(contexts(long, asked.where("heavy")))
+        shared = shared.unionByName(cut(heavy_repeats(hot, length, gram)))
     free(spark)
     known = lambda d: d.where(f"kind = {SETTLED}").select("rid", F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("r")).alias("end")).alias("s"))
     spans = known(found).unionByName(known(settled)).unionByName(known(shared)).groupBy("rid").agg(F.collect_list("s").alias("_spans"))

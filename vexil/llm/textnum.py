@@ -1,17 +1,21 @@
-"""Whole batches of texts as numpy arrays: words, hashes of words, of shingles and of byte windows.
+"""Whole batches of texts as numpy arrays: words, their identities, hashes of shingles and of byte windows.
 
-A string's hash is a polynomial over random 64-bit values of its bytes, modulo 2**64, with a final mix, so that the hash
-of any substring follows from prefix sums in a few vector operations.
+A word's identity is its length and 128 bits: the word itself up to 16 bytes, the BLAKE2b digest of a longer one. Its hash
+mixes them to 64 bits. Where equal words decide a result, identities are compared and not hashes (``Words.codes``).
+Windows of a fixed length have a polynomial hash modulo 2**64, which only ranks them: strings that collide there may share a
+rank, but nothing takes them for equal.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 _ODD = 0x9E3779B97F4A7C15
@@ -68,21 +72,45 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of data[start:end] for each pair; equal strings have equal hashes wherever they stand."""
-    inv = powers(_INV, len(sums))
-    raw = (sums[end] - sums[start]) * inv[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(_ODD) + np.uint64(salt))
-
-
 def slid_hash(sums: np.ndarray, k: int) -> np.ndarray:
-    """Hash of data[i:i + k] for each i."""
+    """Rank of data[i:i + k] for each i."""
     n = len(sums) - 1
     if n < k:
         return np.zeros(0, np.uint64)
     return mix((sums[k:] - sums[: n - k + 1]) * powers(_INV, n + 1)[: n - k + 1])
 
 
+#: Bytes of a word that are its identity as they stand.
+PLAIN = 16
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def identities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, second) 64 bits of the identity of each data[start:end]; with the length they are equal only for equal strings."""
+    size = end - start
+    lanes = np.ndarray((len(data) + 8,), "<u8", np.concatenate([data, np.zeros(15, np.uint8)]), strides=(1,))
+    first = lanes[start] & _MASK[np.minimum(size, 8)]
+    second = np.where(size > 8, lanes[np.maximum(end - 8, 0)], np.uint64(0))
+    long = np.flatnonzero(size > PLAIN)
+    if len(long):
+        raw = data.tobytes()
+        said = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        both = np.frombuffer(said, "<u8").reshape(-1, 2)
+        first[long], second[long] = both[:, 0], both[:, 1]
+    return first, second
+
+
+def identity_hash(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(mix(first + size.astype(np.uint64) * np.uint64(_ODD)) + second * np.uint64(_BASE))
+
+
+def first_of(code: np.ndarray, n: int) -> np.ndarray:
+    """Index of the first member of each of ``n`` codes."""
+    out = np.zeros(n, np.int64)
+    out[code[::-1]] = np.arange(len(code))[::-1]
+    return out
+
+
 @dataclass
 class Words:
     data: np.ndarray  # bytes of all texts, a blank after each
@@ -91,8 +119,26 @@ class Words:
     end: np.ndarray
     doc: np.ndarray  # of each word
     first: np.ndarray  # index of each text's first word, and the number of words
+    identity: tuple[np.ndarray, np.ndarray]
     hash: np.ndarray
 
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word's kind, a word of each kind): equal numbers for equal words and for no others."""
+        code, kinds = pd.factorize(self.hash)
+        head = first_of(code, len(kinds))
+        own = (*self.identity, self.end - self.start)
+        if all((x == x[head][code]).all() for x in own):
+            return code, head
+        rows = np.stack([own[0], own[1], own[2].astype(np.uint64)], 1)  # two words share a hash
+        _, head, code = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        return code.ravel().astype(np.int64), head
+
+
+def words_at(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> Words:
+    doc = np.searchsorted(at, start, side="right") - 1
+    own = identities(data, start, end)
+    return Words(data, at, start, end, doc, np.searchsorted(start, at), own, identity_hash(*own, end - start))
+
 
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -109,9 +155,7 @@ def words(texts: list[str | None], lower: bool = False) -> Words:
     inside[1:-1] = ~SPACE[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc = np.searchsorted(at, start, side="right") - 1
-    first = np.searchsorted(start, at)
-    return Words(data, at, start, end, doc, first, span_hash(prefix_sums(data), start, end))
+    return words_at(data, at, start, end)
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +185,29 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
+def exact_shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) as of shingles(), but equal numbers within this batch are equal runs of words."""
+    code, _ = w.codes()
+    m, counts = len(code), np.diff(w.first)
+    doc, num, kinds = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    if m >= n:
+        whole = w.doc[: m - n + 1] == w.doc[n - 1 :]
+        at, wide = np.flatnonzero(whole), int(code.max()) + 1
+        num = code[at].astype(np.int64)
+        for j in range(1, n):
+            num, known = pd.factorize(num * wide + code[at + j])
+            kinds = len(known)
+        doc = w.doc[at]
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        seen: dict[tuple, int] = {}
+        more = [kinds + seen.setdefault(tuple(code[w.first[d] : w.first[d + 1]].tolist()), len(seen)) for d in short]
+        doc, num = np.concatenate([doc, short]), np.concatenate([num, np.array(more, np.int64)])
+        order = np.argsort(doc, kind="stable")
+        doc, num = doc[order], num[order]
+    return doc, num
+
+
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (doc, hash); doc must not fall."""
     if not len(doc):
