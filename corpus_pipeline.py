@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.common import cut, table
 from vexil.llm.exact_dedup import exact_dedup
-from vexil.llm.langid import held_out, identify, train
+from vexil.llm.langid import calibrating, held_out, identify, train
 from vexil.llm.mixing import mixed
 from vexil.llm.near_dedup import near_deduped
 from vexil.llm.packing import pack, pieces
@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those that the models reject go."""
-    models = train(docs.where(~held_out()))
+    models = train(docs.where(~held_out()), kept_out=calibrating())
     return identify(docs, models).where("not rejected").select(COLUMNS)
 
 
