@@ -6,6 +6,7 @@ import re
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from vexil.llm import queries as Q
 from vexil.llm.chat import chat_digests, default_template, escape, format_chats, parse, turn_spans, unescape
@@ -58,13 +59,36 @@ def test_pii_matches_brute_force(spark):
     texts = small_texts()
     rows = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["pii"]] for r in find_pii(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        assert [s for s in rows[i] if s[0] not in ("iban", "ssn")] == pii_brute(t), (i, (t or "")[:80])
+        assert [s for s in rows[i] if s[0] not in ("iban", "ssn", "secret")] == pii_brute(t), (i, (t or "")[:80])
     extra = [s for v in rows.values() for s in v if s[0] in ("iban", "ssn")]
     assert {s[0] for s in extra} == {"iban", "ssn"} and len(extra) == 3
+    secrets = {i: [texts[i][s[1] : s[2]] for s in v if s[0] == "secret"] for i, v in rows.items()}
+    for i, t in enumerate(texts):
+        assert secrets[i] == re.findall(r"(?i)(?<![a-z0-9])token = \"[0-9a-f]{40}\"", t or ""), i
     out = {r["doc_id"]: r["text"] for r in masked(find_pii(docs(spark, TRICKY))).collect()}
     assert out[4] == "call [phone] now" and out[0] == ""
 
 
+def said(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_pii_query_matches_brute_force(spark, tmp_path):
+    texts = [*small_texts(), "a@b.c " * 1000, "x1.2.3.4 " * 700 + "é" * 50 + " +1 222 333 4444"]
+    df = docs(spark, texts).withColumn("pii", F.lit("clash"))
+    df.unionByName(df.where("doc_id = 4")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.op2_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        want = pii_brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in want) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == hashlib.sha256(said(want).encode()).hexdigest()
+        base = [s for s in r["spans"].split(",") if s.split(":")[0] in ("email", "ip", "card", "phone")]
+        assert ",".join(base) == said(want)
+    df.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert Q.op2_pii(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_exact_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a", "x"), (5, "a", "y"), (3, "b", "z"), (4, None, "n"), (9, "", "e"), (None, "b", "q"), (7, "c", "r"), (7, "c", "r")], "doc_id long, text string, kept string")
     for more in ({}, {"per_task": 2}, {"broadcast_rows": 0}):
@@ -145,6 +169,71 @@ def test_quality_matches_brute_force(spark):
     assert quality(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_quality_query_matches_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(100)]
+    fresh = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(fresh(200) + passage + fresh(200) + passage + fresh(60)), " ".join(fresh(1500) + passage + fresh(200) + passage), " ".join(fresh(60) + 3 * passage[:30]),
+             " ".join(fresh(20) + passage[:40] + ["x", *passage[5:40]] + fresh(500)), " ".join(fresh(400)), "a b c d e f g h i j k l " * 9, *[" ".join(r.choice("abc") for _ in range(300)) for _ in range(20)]]
+    texts += [t for t in small_texts() if len(t or "") < 3000]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    verdicts = set()
+    for r in Q.op10_quality(spark, str(tmp_path)).collect():
+        n, chars, symbols, dup, rep, more = quality_brute(texts[r["doc_id"]])
+        failed = n < 50 or 100 * rep > 50 * n
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, dup, rep, failed)
+        if more:
+            cov, longest = more
+            bad = cov > 0.3 * n or longest > 60 and longest > 0.1 * n
+            assert r["kept"] == (not failed and not bad), r["doc_id"]
+            verdicts.add((r["doc_id"], r["kept"]))
+    assert {(0, False), (4, True)} <= verdicts
+
+
+def test_quality_on_long_and_colliding_texts(spark):
+    from tests.llm.test_substring_dedup import colliding
+
+    a, b = colliding()
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [f"{a}\n{b}", f"{a}\n{a}", long, f"{long} {long[:40_000]}", "same " * 40_000, f"{long}\n{long}", "x" * 3_000_000]
+    got = {r["doc_id"]: r for r in quality(docs(spark, texts)).collect()}
+    assert [got[i]["n_dup_lines"] for i in (0, 1, 5)] == [0, 1, 1]
+    assert got[2]["covered_words"] == got[2]["longest_repeat"] == 0 and got[2]["kept"] and not got[3]["kept"]
+    assert got[4]["covered_words"] == 40_000 and got[4]["longest_repeat"] == 39_999
+    n = len(WORD.findall(long[:40_000])) - 1  # the last word may be cut
+    assert n <= got[3]["longest_repeat"] <= n + 1 and got[3]["covered_words"] == 2 * got[3]["longest_repeat"]
+
+
+def test_maximal_repeats_of_words():
+    import itertools
+    import random
+
+    import numpy as np
+
+    from vexil.llm.quality import maximal_reach, suffix_array
+
+    r = random.Random(3)
+    for _ in range(300):
+        ids = np.array([r.randrange(3) for _ in range(r.randrange(2, 40))])
+        n, least = len(ids), r.randrange(1, 4)
+        order, lcp = suffix_array(ids, np.zeros(n, np.int64))
+        got = maximal_reach(order, lcp, np.append(-1, ids[:-1]), least)
+        w, want = ids.tolist(), [0] * n
+        for m in range(least, n):
+            places: dict = {}
+            for i in range(n - m + 1):
+                places.setdefault(tuple(w[i : i + m]), []).append(i)
+            for p in places.values():
+                left, right = {w[i - 1] if i else -1 for i in p}, {w[i + m] if i + m < n else -1 - i for i in p}
+                if len(p) > 1 and len(left) > 1 and len(right) > 1:
+                    for i in p:
+                        want[i] = m
+        assert got.tolist() == want, (w, least)
+
+
 def url_brute(u):
     host = path = ""
     if u and "://" in u:
@@ -169,6 +258,26 @@ def test_urls(spark):
     assert url_verdicts(df.limit(0)).count() == 0
 
 
+def test_url_verdicts_are_the_models(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from vexil.llm.url_filter import features, host_of, path_of, train
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").withColumn("blocked", F.col("url").rlike("casino|bets|pills").cast("double"))
+    pages = pages.unionByName(pages.where("page_id < 3")).unionByName(spark.createDataFrame([(-1, "http://x.net/" + "a1/" * 20_000, 0.0), (-2, None, None)], pages.schema))
+    held = F.col("page_id") % 2 == 0
+    out = url_verdicts(pages, labelled=pages.where(~held)).collect()
+    model, suffixes = train(pages.where(~held), "url", "blocked")
+    cols = features(F.col("url"), host_of(F.col("url")), path_of(F.col("url")), suffixes)
+    assert {"com", "net", "org"} <= set(suffixes.shares[1])
+    x = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(pages.select("page_id", "blocked", *[c.alias(k) for k, c in cols.items()]))
+    said = {r["page_id"]: "block" if r["prediction"] else "allow" for r in model.transform(x).collect()}
+    mine = [r for r in out if r["rule"] is None]
+    assert len(out) == pages.count() and len(mine) > 50 and all(r["verdict"] == said[r["page_id"]] for r in mine)
+    again = [r for r in mine if r["page_id"] % 2 == 0 and r["blocked"] is not None]
+    assert sum((r["verdict"] == "block") == (r["blocked"] == 1) for r in again) >= 0.8 * len(again)
+
+
 def test_url_trees_learn(spark):
     df = spark.range(600).selectExpr("id as page_id", "concat('https://', case when id % 2 = 0 then 'x9-7-3-' else 'site' end, id, '.net/', id % 7) as url", "cast(id % 2 = 0 as double) as blocked")
     out = url_verdicts(df, rules=(), labelled=df).selectExpr("avg(cast((verdict = 'block') = (blocked = 1) as int))").first()[0]
@@ -199,6 +308,24 @@ def test_chat_digests(spark):
     whole = format_chats(df).where("conv_id = 2").orderBy("block").collect()
     assert "".join(r["formatted"] for r in whole) == default_template([(r[2], r[3]) for r in rows if r[0] == 2])
     assert chat_digests(df.limit(0)).count() == 0
+    named = df.withColumns({"conv_id": F.concat(F.lit("c"), F.col("conv_id").cast("string")), "extra": F.lit("x")})
+    assert {r["conv_id"]: r["turns_sha256"] for r in chat_digests(named).collect()} == {r["conv_id"] and f"c{r['conv_id']}": r["turns_sha256"] for r in got.values()}
+    big = spark.createDataFrame([(2**60 + 1, 0, "user", "é<|" * 200_000), (None, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"] for r in chat_digests(big).collect()} == {2**60 + 1, None}
+
+
+def test_chat_query_matches_the_tables(spark):
+    rows = pq.read_table(f"{SF}/conversations.parquet").to_pylist()
+    rows += [{"conv_id": -1, "turn": i, "role": r, "text": "</s>[INST] ok [/INST]"} for i, r in enumerate(("user", "assistant"))]
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"], r["turn"])):
+        by.setdefault(r["conv_id"], []).append((r["role"], r["text"] or ""))
+    got = {r["conv_id"]: r for r in Q.op9_chat(spark, SF).collect()}
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(default_template(turns)))
+        assert tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) == want
 
 
 def last_thought_kept(turns, _=0):

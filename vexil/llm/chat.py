@@ -93,12 +93,12 @@ def _digest(conv: object, turns: list[tuple[str, str]], trained: set[str], templ
     return (conv, len(turns), turns_sha.hexdigest(), loss, loss_sha.hexdigest(), len(out), len(rewrites))
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
-    """(conv_id, turns), where rows come in order of the conversation."""
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[tuple[str, str]]]]:
+    """(conv_id as text, turns), where rows come in order of the conversation."""
     now, held = None, []
     for b in batches:
         for c, r, t in zip(b["conv_id"], b["role"], b["text"], strict=True):
-            c = None if pd.isna(c) else int(c)
+            c = None if pd.isna(c) else c
             if held and c != now:
                 yield now, held
                 held = []
@@ -110,7 +110,7 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None
 
 def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     empty = F.lit("")
-    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
+    rows = df.select(F.col(conv).cast("string").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -120,7 +120,7 @@ def format_chats(df: DataFrame, template: Template = default_template, conv: str
     One row for each ``block`` turns of a conversation; their ``formatted`` in order are the template's output for the
     whole of it. A turn's places, found in the prefix that ends with it, count from the start of its block, and
     ``rewrites`` from its first turn. Turns go by ``turn`` (null first), then role and text; rows that repeat stay. Null
-    role and text count as empty; rows with a null id are one conversation. Other columns are not carried.
+    role and text count as empty; rows with a null id are one conversation. Ids are of any type that is read back from text. Other columns are not carried.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,10 +136,11 @@ def format_chats(df: DataFrame, template: Template = default_template, conv: str
                 own = slice(k * block, (k + 1) * block)
                 turns = [dict(zip(("start", "end", "text_start", "text_end", "role"), (*[v - x for v in s], r), strict=True)) for s, (r, _) in zip(spans[own], held[own], strict=True)]
                 row = {"conv_id": [conv_id], "block": [k], "formatted": [out[x:y]], "turns": [turns], "rewrites": [[i - k * block for i in rewrites if i // block == k]]}
-                yield pd.DataFrame(row).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(row).astype({"conv_id": object})
 
-    kinds = "conv_id long, block long, formatted string, turns array<struct<start:int,`end`:int,text_start:int,text_end:int,role:string>>, rewrites array<int>"
-    return _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, kinds)
+    kinds = "conv_id string, block long, formatted string, turns array<struct<start:int,`end`:int,text_start:int,text_end:int,role:string>>, rewrites array<int>"
+    out = _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, kinds)
+    return out.withColumn("conv_id", F.col("conv_id").cast(df.schema[conv].dataType))
 
 
 def chat_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -149,6 +150,7 @@ def chat_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]
         rows = (_digest(c, turns, set(trained), default_template) for c, turns in _conversations(batches))
         while done := list(islice(rows, 1000)):
-            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(done, columns=names).astype({"conv_id": object})
 
-    return _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long")
+    out = _ordered(df, conv, turn, role, text).select("conv_id", "role", "text").mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(df.schema[conv].dataType))

@@ -2,8 +2,8 @@
 
 Every source gets a share of the whole in proportion to its weight, but no more than ``cap`` times its own size; what is
 cut off is dealt to the others by weight until no share is above its cap. A share of 1.4 sizes takes each document once
-and a seeded choice of documents, 0.4 of the words, once more; the document at the edge takes part in it with the
-leading words that are missing, so that each source meets its target to the word.
+and a seeded choice of documents, 0.4 of the words, once more. The plan counts the document at the edge with the words that
+are missing; in the corpus it is whole or absent, whichever is nearer, so that only whole texts enter it.
 """
 
 from __future__ import annotations
@@ -73,20 +73,15 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     return out.drop("_order", "_bucket", "_s", "_b", "_sum", "_low", "_edge", "_whole", "_rest")
 
 
-def mixed(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
-    """``df`` with each document as often as mix() takes it, the last time perhaps in part: its leading words, a blank between.
+def mixed(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``df`` with each document as often as mix() takes it; a part of one counts as whole from half its words on.
 
-    ``n_chars``, where ``df`` has it, follows the text. Rows that repeat an id and text share one of their decisions.
+    A source then has its target but for half a document. Rows that repeat an id and text share one of their decisions.
     """
     rid = F.xxhash64(F.col(options.get("doc_id", "doc_id")), F.col(text))
     plan = mix(df.withColumn("_rid", rid), text=text, carry=("_rid",), **options)
-    plan = plan.groupBy("_rid").agg(F.min(F.struct("epochs", "part", "size")).alias("_plan")).where("_plan.epochs + _plan.part > 0")
+    times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    plan = plan.groupBy("_rid").agg(F.min(times).alias("_times")).where("_times > 0")
     out = df.withColumn("_rid", rid).join(cut(plan), "_rid")
-    times = F.col("_plan.epochs") + F.when(F.col("_plan.part") > 0, 1).otherwise(0)
-    out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    cropped = (F.col("_time") > F.col("_plan.epochs")) & (F.col("_plan.part") < F.col("_plan.size"))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_plan.part").cast("int")), " ")
-    out = out.withColumn(text, F.when(cropped, words).otherwise(F.col(text)))
-    if n_chars and n_chars in df.columns:
-        out = out.withColumn(n_chars, F.when(cropped, F.length(text).cast("long")).otherwise(F.col(n_chars)))
+    out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return out.select(df.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("iban", "ssn")
+EXTRA = ("iban", "ssn", "secret")
 #: A look-behind or \\G in front lets a failed run be left at once instead of being tried again from each of its characters.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,200}+(?:\.[A-Za-z0-9-]+)*",
@@ -27,15 +27,19 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[a-z0-9_+/=.-]{16,}+[\"']?",
 }
 #: Cheap tests that every text with a match passes.
-TELLING = {"email": "@", "ip": None, "card": None, "phone": "+", "iban": None, "ssn": "-"}
+TELLING = {"email": "@", "ip": None, "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
 CONTEXT = {
     "email": "mail|contact|write to", "ip": "address|host|server|login", "card": "card|visa|master|credit|payment", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer", "ssn": "ssn|social|security|insurance",
+    "secret": "key|token|secret|auth|credential|login",
 }
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.3, "secret": 0.7}
 WINDOW = 40
+#: Matches whose places are added up in one array; more of a text's matches go by groups of as many.
+GROUP = 128
 
 
 def _only_digits(m: Column) -> Column:
@@ -79,24 +83,37 @@ def confirmed(kind: str, m: Column) -> Column:
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """array<struct<start, end, score>> of the confirmed matches of one kind."""
+    """array<struct<start, end, score>> of the confirmed matches of one kind. Context are the ends of the pieces around a match."""
     pattern = F.lit(PATTERNS[kind])
-    kinds = "struct<start:int,`end`:int,m:string>"
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind]), lambda p: F.length(p))
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kinds}>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
+    pieces = F.split(text, PATTERNS[kind])
+    n = F.size(found)
+    # Ends of what stands around a match: a piece, and the match and piece beyond it where that one is short.
+    none, last = F.array(F.lit("")), F.lit(WINDOW)
+    ends = lambda f, *parts: F.transform(F.arrays_zip(*[F.slice(p, at, n).alias(f"p{i}") for i, (p, at) in enumerate(parts)]), f)
+    ahead = ends(lambda x: F.right(F.concat(F.right(x["p0"], last), x["p1"], F.right(x["p2"], last)), last), (F.concat(none, pieces), 1), (F.concat(none, found), 1), (pieces, 1))
+    behind = ends(lambda x: F.left(F.concat(F.left(x["p0"], last), x["p1"], F.left(x["p2"], last)), last), (pieces, 2), (F.concat(found, none), 2), (F.concat(pieces, none), 3))
+    met = F.arrays_zip(F.transform(F.slice(pieces, 1, n), F.length).alias("g"), found.alias("m"), ahead.alias("a"), behind.alias("z"))
+    size = lambda x: x["g"] + F.length(x["m"])
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"), F.lit(GROUP)), lambda i: F.slice(met, i + 1, GROUP))
+    # Where each group starts: only as many additions to an array as there are groups, and then as matches within one.
+    starts = F.aggregate(
+        F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + size(x))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
     )["out"]
+    empty = F.array().cast("array<struct<start:int,`end`:int,m:string,near:string>>")
+    span = lambda at, x: F.struct((at + x["g"]).alias("start"), (at + size(x)).alias("end"), x["m"].alias("m"), F.concat_ws(" ", x["a"], x["z"]).alias("near"))
+    placed = F.flatten(F.zip_with(groups, starts, lambda g, at: F.aggregate(
+        g, F.struct(at.alias("at"), empty.alias("out")),
+        lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(span(s["at"], x))).alias("out")),
+    )["out"]))
     valid = F.filter(placed, lambda s: confirmed(kind, s["m"]))
-    near = lambda s: F.lower(F.concat(F.substring(text, F.greatest(F.lit(1), s["start"] - WINDOW + 1), F.least(F.lit(WINDOW), s["start"])), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(WINDOW))))
-    scored = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.lit(PRIOR[kind]) + F.when(near(s).rlike(f"\\b(?:{CONTEXT[kind]})"), F.lit(0.2)).otherwise(F.lit(0.0))).alias("score")))
+    hint = F.lit(f"\\b(?:{CONTEXT[kind]})")
+    score = lambda s: F.lit(PRIOR[kind]) + F.when(F.rlike(F.lower(s["near"]), hint), F.lit(0.2)).otherwise(F.lit(0.0))
+    scored = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     may = F.contains(text, F.lit(TELLING[kind])) if TELLING[kind] else F.lit(True)
-    shape = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]"}.get(kind)
+    shape = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"(?i)(?:token|secret|passw|key)"}.get(kind)
     may = may & text.rlike(shape) if shape else may
     return F.when(may, scored).otherwise(F.array().cast("array<struct<start:int,`end`:int,score:double>>"))
 

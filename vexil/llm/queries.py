@@ -14,7 +14,7 @@ from .langid import calibrating, held_out, identify, train
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack, pieces
-from .pii import BASE, find_pii
+from .pii import BASE, EXTRA, find_pii
 from .quality import quality
 from .substring_dedup import remove_repeats
 from .url_filter import url_verdicts
@@ -32,7 +32,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in (*BASE, *EXTRA)]
     return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
 
 
