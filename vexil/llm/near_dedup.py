@@ -9,8 +9,8 @@ exceeds RADIUS in about 1 of 160,000 pairs and NEAR in 1 of 10**10, and a pair b
 
 Within a key, breadth-first search over signatures keeps a star for each tree instead of all pairs. A key that a large
 share of the classes has is dealt to many tasks and joined whole. The stars join to candidate clusters, and within each
-cluster the links are computed from full sets, in one task as far as it holds HELD shingles, and by joins beyond: first
-with a few pivots of the cluster, and then between components by the rarest shingles of each set.
+cluster the links are computed from full sets, in one task as far as it holds HELD shingles, and in many beyond: first
+with a few pivots of the cluster, and then, between the components so far, by blocks of which a task holds two.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ WIDTH = 5
 #: Bytes of text held as arrays at once.
 CHUNK = 1 << 19
 #: Members of a key that one search compares; larger keys are joined whole, which adds candidates and loses none.
-SEARCHED = 20_000
+SEARCHED = 2_000
 #: Classes of a key in one batch of rows that make the batch name the key, and tasks that a named key is dealt to.
 NAMED, SALTS = 8, 256
 #: Shingles of a cluster that one task holds.
 HELD = 100_000
 #: Rows (three longs each) up to which cluster members are broadcast, and bytes up to which pivots are.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
-#: Rounds of pivots in a large cluster.
+#: Rounds of pivots in a large cluster at most.
 ROUNDS = 4
 
 _rng = np.random.default_rng(75)
@@ -318,12 +318,13 @@ def confirm_small(members: DataFrame) -> DataFrame:
     return members.repartition("cluster").sortWithinPartitions("cluster", "cls").mapInPandas(released(run), "cls long, comp long")
 
 
-def confirm_large(members: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def confirm_large(members: DataFrame, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
     """(cluster, cls, n_shingles, _text) of the clusters that no task should hold -> edges a, b.
 
-    Each round takes from each cluster one set that no pivot has reached and joins all it reaches to it. Then only pairs
-    of different components are open. Two sets similar at 0.75 share one of the 25 % + 1 rarest shingles of each, so the
-    components' sets are joined by those, by cluster and shingle, and what meets is compared in full.
+    Each round takes from each cluster one set that no pivot has reached and joins all it reaches to it; so all links of a
+    pivot are known. Then only pairs of other sets in different components are open. The sets outside the component that
+    is largest so far are dealt to blocks of ``held`` / 2 shingles, and so are those in it; each block of the former meets each
+    other block in a task of its own. Of a set's links to a component one leaves the task.
     """
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,28 +351,55 @@ def confirm_large(members: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         edges.append(found)
         left = cut(left.join(found.select(F.col("b").alias("cls")), "cls", "left_anti"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
+    known = union(edges).select("a").distinct()
     joined = components(union(edges).where("a <> b")).withColumnsRenamed({"v": "cls", "label": "comp"})
     sets = cut(sets.join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    sets = sets.join(known.withColumnRenamed("a", "cls"), "cls", "left_anti")
     parted = sets.groupBy("cluster").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("cluster")
     sets = cut(sets.join(parted, "cluster", "left_semi"))
-    rows = cut(sets.mapInPandas(_exploded, "cluster long, cls long, comp long, n int, s long"))
-    # A shingle that only one component has links none to another; what is left is ranked by how many sets have it.
-    often = rows.groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("_x"), F.max("comp").alias("_y"))
-    often = cut(often.where("_x <> _y").select("cluster", "s", "f"))
-    ranked = rows.join(often, ["cluster", "s"]).groupBy("cluster", "cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
-    # Of n shingles, those that other components lack come first in the order of rarity and count among the n - ceil(0.75 n) + 1.
-    own = F.col("n") - F.size("all")
-    most = F.col("n") - F.ceil(F.col("n") * 0.75) + 1 - own
-    rare = ranked.where(most > 0).select("cluster", "cls", "comp", F.explode(F.slice("all", F.lit(1), F.least(most, F.size("all")).cast("int"))).alias("x"))
-    rare = cut(rare.select("cluster", "cls", "comp", F.col("x.s").alias("s")))
-    other = rare.withColumnsRenamed({"cls": "b", "comp": "_comp"})
-    pairs = rare.withColumnRenamed("cls", "a").join(other, ["cluster", "s"]).where("comp < _comp").select("a", "b").distinct()
-    with_a = cut(pairs).join(sets.select(F.col("cls").alias("a"), F.col("h").alias("ah")), "a")
-    met = with_a.join(sets.select(F.col("cls").alias("b"), F.col("h").alias("bh")), "b")
-    edges.append(cut(met.mapInPandas(_linked, "a long, b long")))
+    weights = sets.groupBy("cluster", "comp").agg(F.sum(F.length("h") / 8).alias("w"))
+    per = F.lit(held / 2)
+    total = weights.groupBy("cluster").agg(F.sum("w").alias("_all"), F.max(F.struct("w", "comp")).alias("_main"))
+    blocks = total.select("cluster", F.col("_main.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_main.w")) / per).alias("n_out"), F.ceil(F.col("_main.w") / per).alias("n_in"))
+    dealt = sets.join(cut(blocks), "cluster").withColumn("inside", F.col("comp") == F.col("_main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))))
+    below = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    task = lambda out, inside, other: F.struct(out.alias("out"), inside.alias("inside"), other.alias("other"))
+    # A block outside asks itself and those after it, and all inside; a set answers in the tasks that ask its block.
+    asks = F.concat(F.transform(F.sequence(F.col("own"), F.col("n_out") - 1), lambda j: task(F.col("own"), F.lit(False), j)), F.transform(below(F.col("n_in")), lambda j: task(F.col("own"), F.lit(True), j)))
+    answers = F.transform(F.when(F.col("inside"), below(F.col("n_out"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("own"))), lambda j: task(j, F.col("inside"), F.col("own")))
+    sent = dealt.where("not inside").select("cluster", "cls", "comp", "h", F.lit(True).alias("asks"), F.explode(asks).alias("t"))
+    sent = sent.unionByName(dealt.select("cluster", "cls", "comp", "h", F.lit(False).alias("asks"), F.explode(answers).alias("t")))
+    sent = sent.select(F.xxhash64("cluster", "t.out", "t.inside", "t.other").alias("task"), "cls", "comp", "h", "asks")
+    edges.append(cut(sent.repartition("task").sortWithinPartitions("task").mapInPandas(released(_between), "a long, b long")))
     return union(edges)
 
 
+def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the sets that ask and those that answer in a task, one link of each set that asks to each other component."""
+    for g in _groups(batches, "task"):
+        ask, answer = g[g["asks"]], g[~g["asks"]]
+        if not len(ask) or not len(answer):
+            continue
+        n, first = (answer["h"].map(len) // 8).to_numpy(), answer["comp"].to_numpy()
+        kinds, flat = np.unique(np.frombuffer(b"".join(answer["h"]), np.uint64), return_inverse=True)
+        start, cls, mark = np.cumsum(n) - n, answer["cls"].to_numpy(), np.zeros(len(kinds), bool)
+        a, b = [], []
+        for own, comp, h in zip(ask["cls"], ask["comp"], ask["h"], strict=True):
+            x = np.frombuffer(h, np.uint64)
+            at = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
+            at = at[kinds[at] == x]
+            mark[at] = True
+            hit = np.flatnonzero(linked(np.add.reduceat(mark[flat].astype(np.int64), start), n, len(x)) & (first != comp))
+            mark[at] = False
+            if len(hit):
+                hit = hit[np.unique(first[hit], return_index=True)[1]]
+                a += [own] * len(hit)
+                b += cls[hit].tolist()
+        if a:
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows (a, ah, b, bh), the pairs whose sets are linked."""
     for batch in batches:
@@ -382,13 +410,6 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]][np.array(sure, bool)]
 
 
-def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for cluster, cls, comp, h in zip(b["cluster"], b["cls"], b["comp"], b["h"], strict=True):
-            s = np.frombuffer(h, np.int64)
-            yield pd.DataFrame({"cluster": cluster, "cls": cls, "comp": comp, "n": np.int32(len(s)), "s": s})
-
-
 def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held: int = HELD, searched: int = SEARCHED, named: int = NAMED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rid (hash of id and text), one row for each row of ``df``.
 
@@ -414,7 +435,7 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held:
     confirmed = confirm_small(docs.select("rid", "_text").join(hint(small.select("rid", "cluster", "cls")), "rid").select("cluster", "cls", "_text"))
     if large.limit(1).count():
         held_back = members.join(large, "cluster", "left_semi")
-        found = components(confirm_large(docs.select("rid", "_text").join(hint(held_back), "rid")).where("a <> b"))
+        found = components(confirm_large(docs.select("rid", "_text").join(hint(held_back), "rid"), held=held).where("a <> b"))
         confirmed = confirmed.unionByName(found.select(F.col("v").alias("cls"), F.col("label").alias("comp")))
     labels = cut(confirmed.where("comp <> cls"))
     named = cut(rows.select("doc_id", "rid", "n_shingles", "cls").join(labels, "cls", "left").select("doc_id", "rid", "n_shingles", F.coalesce("comp", "cls").alias("comp")))

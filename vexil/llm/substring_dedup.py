@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from .textnum import mix, prefix_sums, released, slid_hash
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text held as arrays at once, and anchors that a task combines at once.
-CHUNK, COMBINED = 2 << 20, 2_000_000
+CHUNK, COMBINED = 2 << 20, 800_000
 #: Contexts of one anchor that one suffix array holds; more are parted by what their windows share.
 HELD = 2048
 #: Contexts of an anchor that make a partition name it, and contexts named in all from which it is settled by digests.
@@ -357,47 +358,40 @@ def heavy_repeats(ctx: DataFrame, length: int, gram: int) -> DataFrame:
     """SETTLED spans of the contexts of heavy anchors, by digests alone; rows of one digest never meet in a task.
 
     Windows start 0 to length - gram bytes before the anchor. Those that start lo to hi before it all hold the bytes from
-    lo before it to length - hi after it; a context whose bytes there are its own has no repeat among them. All they span
-    is hi before to length - lo after; a context that shares it with another has a repeat in each. Ranges for which neither
-    holds are settled window by window.
+    lo before it to length - hi after it (their core); a context whose core is its own has no repeat among them. All they
+    span is hi before to length - lo after; a context that shares this with another has a repeat in each. Ranges for which
+    neither holds are halved until they are one window, whose core is all of it.
     """
-    step = int(np.ceil(np.sqrt(length - gram + 1)))
-    ranges = [(lo, min(lo + step - 1, length - gram)) for lo in range(0, length - gram + 1, step)]
-    inside, whole = 0, 1
-
-    def digests(one_by_one: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for rid, pos, left, c, asked in zip(b["rid"], b["pos"], b["l"], b["ctx"], b["ranges"], strict=True):
-                    for lo, hi in ((x, x) for k in asked for x in range(ranges[k][0], ranges[k][1] + 1)) if one_by_one else ranges:
-                        for kind, a, z in ((inside, lo, length - hi), (whole, hi, length - lo))[: 1 + (hi > lo)]:
-                            if left >= a and len(c) - left >= z:
-                                d = hashlib.blake2b(c[left - a : left + z], digest_size=16, salt=lo.to_bytes(4, "little") + bytes([kind])).digest()
-                                out.append((d, rid, pos, lo, hi, kind))
-                yield pd.DataFrame(out, columns=["d", "rid", "pos", "lo", "hi", "part"])
-
-        return run
-
-    def shared(rows: DataFrame, one_by_one: bool) -> DataFrame:
-        own = cut(rows.mapInPandas(released(digests(one_by_one)), "d binary, rid long, pos int, lo int, hi int, part int"))
-        often = cut(own.groupBy("d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("d"))
-        return own.join(often, "d", "left_semi")
-
-    ctx = ctx.withColumn("ranges", F.array().cast("array<int>"))
-    found = cut(shared(ctx, False))
-    place = ["rid", "pos", "lo"]
-    spanned = found.where(f"part = {whole}").select(*place, F.col("d").alias("d_whole"))
-    both = cut(found.where(f"part = {inside}").join(spanned, place, "left"))
-    settled, open_ = both.where("d_whole is not null"), both.where("d_whole is null")
-    # A window of an open range may be shared with a context whose range is settled: one of each such kind stands for all.
-    kinds = settled.groupBy("d_whole").agg(F.min(F.struct(*place, "d")).alias("r")).select("r.*")
-    partners = kinds.join(open_.select("d").distinct(), "d", "left_semi")
-    asked = open_.select(place).unionByName(partners.select(place)).groupBy("rid", "pos").agg(F.collect_list((F.col("lo") / step).cast("int")).alias("ranges"))
-    single = shared(ctx.drop("ranges").join(asked, ["rid", "pos"]).select(ctx.columns), True)
-    spans = settled.select("rid", "pos", "lo", "hi").unionByName(single.select("rid", "pos", "lo", "hi"))
-    zero = F.lit(0).cast("long")
-    return spans.select(F.lit(SETTLED).alias("kind"), zero.alias("kh"), zero.alias("c1"), zero.alias("c2"), "rid", (F.col("pos") - F.col("hi")).alias("pos"), F.lit(0).alias("l"), (F.col("hi") - F.col("lo") + length).alias("r"), F.lit(1).alias("n"))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, pos, left, c, lo, hi in zip(b["rid"], b["pos"], b["l"], b["ctx"], b["lo"], b["hi"], strict=True):
+                right = len(c) - left
+                if left >= lo and right >= length - hi:
+                    core, whole = (hashlib.blake2b(c[left - x : left + y], digest_size=16).digest() for x, y in ((lo, length - hi), (hi, length - lo)))
+                    out.append((rid, pos, lo, hi, core, whole if left >= hi and right >= length - lo else None))
+            yield pd.DataFrame(out, columns=["rid", "pos", "lo", "hi", "core", "whole"])
+
+    place = ["rid", "pos", "lo", "hi"]
+    often = lambda rows, d: rows.where(F.col(d).isNotNull()).groupBy(d, "lo").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(d, "lo")
+    asked = ctx.select("rid", "pos", F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
+    spans: list[DataFrame] = []
+    while True:
+        rows = cut(ctx.select("rid", "pos", "l", "ctx").join(asked, ["rid", "pos"]).mapInPandas(released(digests), "rid long, pos int, lo int, hi int, core binary, whole binary"))
+        shared = cut(rows.join(cut(often(rows, "core")), ["core", "lo"], "left_semi"))
+        settled = cut(shared.join(cut(often(shared, "whole")), ["whole", "lo"], "left_semi"))
+        spans.append(settled.select(place))
+        open_ = shared.where("lo < hi").join(settled.select(place), place, "left_anti")
+        # A window of an open range may be shared with a context whose range is settled: one of each such kind stands for all.
+        kinds = settled.where("lo < hi").groupBy("whole", "lo").agg(F.min(F.struct("rid", "pos", "hi", "core")).alias("r")).select("lo", "r.*")
+        partners = kinds.join(open_.select("core", "lo").distinct(), ["core", "lo"], "left_semi")
+        halves = F.inline(F.array(F.struct("lo", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int").alias("hi")), F.struct((F.floor((F.col("lo") + F.col("hi")) / 2) + 1).cast("int").alias("lo"), "hi")))
+        asked = cut(open_.select(place).unionByName(partners.select(place)).select("rid", "pos", halves))
+        if not asked.limit(1).count():
+            break
+    found, zero = reduce(DataFrame.unionByName, spans), F.lit(0).cast("long")
+    return found.select(F.lit(SETTLED).alias("kind"), zero.alias("kh"), zero.alias("c1"), zero.alias("c2"), "rid", (F.col("pos") - F.col("hi")).alias("pos"), F.lit(0).alias("l"), (F.col("hi") - F.col("lo") + length).alias("r"), F.lit(1).alias("n"))
 
 
 def repeats(ctx: DataFrame, length: int, gram: int, held: int = HELD) -> DataFrame:
