@@ -128,12 +128,12 @@ class Models:
     """Sorted arrays: for each language and order, entries (n-gram, discounted count) and contexts (what stands before, 1 / total, share left to the lower order)."""
 
     def __init__(self, entries: pd.DataFrame, contexts: pd.DataFrame, discounts: dict[tuple[str, int], float]):
-        self.langs = sorted(entries["lang"].unique())
+        self.langs = sorted(map(str, entries["lang"].unique()))
         self.entries, self.contexts = {}, {}
-        for (lang, order), g in entries.groupby(["lang", "k"]):
+        for (lang, order), g in entries.groupby(["lang", "k"], observed=True):
             g, d = _by_key(g), discounts[lang, order]
             self.entries[lang, order] = (_unsigned(g), np.maximum(g["n"].to_numpy(float) - d, 0.0))
-        for (lang, order), g in contexts.groupby(["lang", "k"]):
+        for (lang, order), g in contexts.groupby(["lang", "k"], observed=True):
             g, d = _by_key(g), discounts[lang, order]
             total = g["total"].to_numpy(float)
             self.contexts[lang, order] = (_unsigned(g), 1 / total, np.minimum(1.0, d * g["kinds"].to_numpy(float) / total))
@@ -179,11 +179,19 @@ class Trained:
         self.langs = sorted({x for x, _ in discounts})
         self.parts = max(1, -(-entries.count() // max(1, rows // 2)))
         self.usual: dict[str, tuple[float, float, float]] = {}  # mean and variance of a character's loss, slack
-        self.spark = entries.sparkSession
+        self.spark, self._only = entries.sparkSession, None
 
     def shared(self, part: int):
-        """A broadcast of one part; the least order, which all parts need, has as many rows as characters."""
-        own = lambda t: t.where(F.col("before").isNull() | (_part_of(F.col("before"), self.parts) == part)).drop("before").toPandas()
+        """A broadcast of one part; the least order, which all parts need, has as many rows as characters. Models of one part are sent once."""
+        if self._only is None:
+            sent = self._send(part)
+            if self.parts > 1:
+                return sent
+            self._only = sent
+        return self._only
+
+    def _send(self, part: int):
+        own = lambda t: t.where(F.col("before").isNull() | (_part_of(F.col("before"), self.parts) == part)).drop("before").toArrow().to_pandas(strings_to_categorical=True)
         return self.spark.sparkContext.broadcast(Models(own(self.entries), own(self.contexts), self.discounts))
 
 

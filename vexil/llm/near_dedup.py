@@ -254,6 +254,16 @@ def signature_forest(buckets: DataFrame) -> DataFrame:
     return buckets.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInPandas(released(run), "a long, b long").distinct()
 
 
+def fewer(stars: DataFrame) -> DataFrame:
+    """Edges a, b that connect the same as those of stars(a, b) from many keys: each b to its least a, and that to its others.
+
+    A class is in as many stars as it has keys at most. Centres are few and mostly the same, so few edges are left.
+    """
+    own = stars.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
+    pairs = F.concat(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b"))), F.transform(F.filter("s", lambda x: x != F.col("m")), lambda x: F.struct(F.col("m").alias("a"), x.alias("b"))))
+    return own.select(F.inline(pairs)).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, label of every vertex of edges(a, b): the least vertex of its component, by least labels of neighbours and pointer jumping."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -425,7 +435,7 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", held:
     signed = classes.where("n_shingles > 1").select("cls", "sig")
     buckets = cut(shared_keys(signature_keys(signed), hot_keys(signed, searched, named), searched))
     edges = signature_forest(buckets.join(classes.select("cls", "sig"), "cls").select("bucket", "cls", "whole", "sig"))
-    clusters = components(edges).withColumnsRenamed({"v": "cls", "label": "cluster"})
+    clusters = components(fewer(edges)).withColumnsRenamed({"v": "cls", "label": "cluster"})
     members = cut(clusters.join(classes.select("cls", "rid", "n_shingles"), "cls"))
     sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("_size"))
     large = cut(sizes.where(F.col("_size") > held).select("cluster"))

@@ -133,6 +133,10 @@ class Tokens:
             return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
         w = units(texts)
         code, head = w.codes()
+        order = np.argsort(w.hash[head])  # looked up in order, which keeps to the caches
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        head, code = head[order], place[code]
         kinds, own = w.hash[head], (*(x[head] for x in w.identity), (w.end - w.start)[head].astype(np.uint64))
         if len(self.known) > REMEMBERED:
             self.clear()

@@ -34,8 +34,8 @@ LENGTH, GRAM = 400, 100
 CHUNK, COMBINED = 2 << 20, 800_000
 #: Contexts of one anchor that one suffix array holds; more are parted by what their windows share.
 HELD = 2048
-#: Contexts of an anchor that make a partition name it, and contexts named in all from which it is settled by digests.
-NAMED, HEAVY = 8, 2048
+#: Contexts of an anchor that make a partition name it, and contexts (of 700 bytes at most) that a task may hold of one anchor.
+NAMED, HEAVY = 8, 100_000
 #: Rows of heavy anchors (a long each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 #: Contexts, about, that are handled together.
