@@ -150,6 +150,18 @@ def test_hnsw_recall_and_shape(spark):
     assert all(r["id"] >= "v-001000" for r in graph.search(nodes, qs, 10, 128, deleted=gone).collect())
 
 
+def test_routed_search(spark):
+    """Segments of different signs: a query reads its own, and finds what a search of all finds."""
+    x = np.random.default_rng(6).random((1200, 24)) + 0.1
+    signs = np.where(np.arange(24)[None, :] % 6 == np.arange(6)[:, None], -1, 1).repeat(200, 0)
+    v = spark.createDataFrame([(f"v-{i:06d}", [float(y) for y in r]) for i, r in enumerate(x * signs)], "id string, values array<float>")
+    index = graph.packed(graph.build(v, 16, 96, segment_size=200)).persist()
+    qs = [(f"q{i}", [float(y) for y in (x * signs)[i * 60 + 3]]) for i in range(20)] + [("far", [0.5] * 24)]
+    routed = graph.search(index, qs, 10, 128, keep=2)
+    assert recall(spark, v, routed, qs) >= 0.95 and index.count() == 6
+    assert {r["qid"] for r in routed.collect()} == {n for n, _ in qs}
+
+
 @pytest.mark.parametrize("metric", ["cosine", "inner_product"])
 def test_segmented_metric_recall(spark, metric):
     v, _ = uniform(spark, 2000, 32, 84, lambda i: 0.5 + (i % 17) / 8)
@@ -231,6 +243,12 @@ def test_streaming(spark, tmp_path):
     copy = store.Store(spark, str(tmp_path / "copy"))
     ingest.replicate(ingest.follow(spark, str(tmp_path / "c" / "parts"), 100), copy, str(tmp_path / "ck2")).awaitTermination()
     assert routing.migration_delta(s.read(), copy.read()).count() == 0 and copy.read().count() == 4
+    s.upsert(table(spark, [("x", (1, 1), {"k": "1"}), ("y", (2, 2), {})]))
+    s.set_metadata(spark.createDataFrame([("x", {"m": "2"}), ("v1", {"m": "3"})], "id string, metadata map<string,string>"))
+    s.delete(spark.createDataFrame([("y",), ("v2",)], "id string"))
+    ingest.replicate(ingest.follow(spark, str(tmp_path / "c" / "parts"), 100), copy, str(tmp_path / "ck2")).awaitTermination()
+    state = lambda t: {r["id"]: (list(r["values"]), r["metadata"]) for r in t.read().collect()}
+    assert state(copy) == state(s) and state(copy)["x"] == ([1.0, 1.0], {"m": "2"}) and not {"y", "v2"} & set(state(copy))
     seen = []
     ingest.retrain_when_drifted(ingest.read_ndjson(spark, str(src), 10), lambda d: d.agg(F.lit(True).alias("needs_retrain")), lambda d: seen.append(d.count()), str(tmp_path / "ck3")).awaitTermination()
     assert seen == [9]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ class Profile:
 #: Links, construction beam and search beam of the named profiles.
 PROFILES = {"fast": Profile(8, 32, 32), "balanced": Profile(16, 64, 64), "quality": Profile(24, 96, 96), "quality_core": Profile(32, 128, 128)}
 MAX_LEVEL = 32
+#: Vectors of a segment up to which the distances of all pairs are held while it is built (128 MB).
+EXACT = 4096
 
 
 def distances(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -44,6 +47,18 @@ def distances(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.where(n > 0, 1 - p / np.where(n > 0, n, 1), 1.0)
 
 
+def between(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of a to all rows of b."""
+    p = a @ b.T
+    if metric == "inner_product":
+        return -p
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    if metric == "l2":
+        return np.maximum(aa[:, None] + bb[None, :] - 2 * p, 0)
+    n = np.sqrt(aa)[:, None] * np.sqrt(bb)[None, :]
+    return np.where(n > 0, 1 - p / np.where(n > 0, n, 1), 1.0)
+
+
 def level_of(slot: int, m: int) -> int:
     """Geometric level of a slot, from a hash of its number instead of a random generator."""
     x = (slot + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
@@ -59,6 +74,8 @@ class Graph:
         self.v, self.m, self.ef, self.metric, self.flat = v, m, ef, metric, flat
         self.links: list[list[np.ndarray]] = []
         self.entry = -1
+        self.table: np.ndarray | None = None  # distances of all pairs, while a small segment is built
+        self.levels: np.ndarray | None = None
 
     def beam(self, q: np.ndarray, start: list[int], ef: int, level: int, banned: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The ``ef`` nearest found, in order. Banned nodes are walked through but not returned."""
@@ -87,16 +104,20 @@ class Graph:
 
     def choose(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Nearest first, leaving out those nearer to one already chosen than to the node; left-outs fill up."""
-        out: list[int] = []
-        rest: list[int] = []
-        for d, n in found:
-            if len(out) == most:
-                break
-            if out and (distances(self.v[out], self.v[n], self.metric) < d).any():
-                rest.append(n)
-            else:
-                out.append(n)
-        return out + rest[: most - len(out)]
+        if len(found) <= 1:
+            return [n for _, n in found[:most]]
+        d, own = np.array([x for x, _ in found]), np.array([n for _, n in found])
+        among = self.table[np.ix_(own, own)] if self.table is not None else between(self.v[own], self.v[own], self.metric)
+        free, out = np.ones(len(own), bool), []
+        for i in range(len(own)):
+            if free[i]:
+                out.append(i)
+                if len(out) == most:
+                    break
+                free &= ~(among[i] < d)
+                free[: i + 1] = False
+        rest = [i for i in range(len(own)) if i not in set(out)]
+        return own[out + rest[: most - len(out)]].tolist()
 
     def add(self, s: int) -> None:
         level = 0 if self.flat else level_of(s, self.m)
@@ -106,26 +127,37 @@ class Graph:
             return
         q, start = self.v[s], [self.entry]
         top = len(self.links[self.entry]) - 1
-        for lv in range(top, level, -1):
-            start = [self.beam(q, start, 1, lv)[0][1]]
+        if self.table is None:
+            for lv in range(top, level, -1):
+                start = [self.beam(q, start, 1, lv)[0][1]]
         for lv in range(min(top, level), -1, -1):
-            found = self.beam(q, start, self.ef, lv)
-            start = [n for _, n in found]
+            if self.table is None:
+                found = self.beam(q, start, self.ef, lv)
+                start = [n for _, n in found]
+            else:  # all distances are known: the beam is exact
+                there = np.flatnonzero(self.levels[:s] >= lv)
+                d = self.table[s, there]
+                near = np.argsort(d, kind="stable")[: self.ef]
+                found = list(zip(d[near].tolist(), there[near].tolist(), strict=True))
             most = self.m * (2 if lv == 0 else 1)
             own = self.choose(found, self.m)
             self.links[s][lv] = np.array(own, np.int32)
             for n in own:
                 have = np.append(self.links[n][lv], s).astype(np.int32)
                 if len(have) > most:
-                    d = distances(self.v[have], self.v[n], self.metric)
+                    d = self.table[n, have] if self.table is not None else distances(self.v[have], self.v[n], self.metric)
                     have = np.array(self.choose(sorted(zip(d.tolist(), have.tolist(), strict=True)), most), np.int32)
                 self.links[n][lv] = have
         if level > top:
             self.entry = s
 
     def build(self) -> Graph:
+        if len(self.v) <= EXACT:
+            self.table = between(self.v, self.v, self.metric)
+            self.levels = np.array([0 if self.flat else level_of(s, self.m) for s in range(len(self.v))])
         for s in range(len(self.v)):
             self.add(s)
+        self.table = self.levels = None
         return self
 
     def search(self, q: np.ndarray, k: int, ef: int, banned: np.ndarray | None = None) -> list[tuple[float, int]]:
@@ -149,22 +181,78 @@ def build(vectors: DataFrame, m: int = 16, ef: int = 64, metric: str = "l2", seg
     return segments(vectors.select("id", "values"), segment_size).select("segment", "id", "values").groupBy("segment").applyInPandas(run, NODES)
 
 
-def search(nodes: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", deleted: DataFrame | None = None) -> DataFrame:
-    """qid, id, distance (L2 squared), rank. ``deleted`` ids still lead the walk but are not returned. The queries are few and travel with the tasks."""
-    rows = nodes if deleted is None else nodes.join(deleted.select("id", F.lit(True).alias("_gone")), "id", "left")
-    rows = rows.withColumn("_gone", F.lit(False)) if deleted is None else rows.withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+PACKED = "segment int, dim int, ids array<string>, vectors binary, entry int, sizes binary, links binary, signatures array<long>"
+
+
+def packed(nodes: DataFrame) -> DataFrame:
+    """One row a segment: vectors, and the links of all levels with their numbers, as bytes. Written so, a search reads segments where they lie.
+
+    ``signatures`` are those of the segment's vectors by sign, for routing.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("slot")
-        graph = Graph(np.stack(g["values"].to_numpy()).astype(np.float64), 1, 1, metric)
-        graph.links = [[np.asarray(a, np.int32) for a in x] for x in g["links"]]
-        level = g["level"].to_numpy()
-        graph.entry = int(level.argmax())
-        ids, gone = g["id"].to_numpy(), g["_gone"].to_numpy(bool)
-        out = [(name, ids[s], d) for name, q in queries if len(q) == graph.v.shape[1] for d, s in graph.search(np.array(q, np.float64), k, ef, gone if gone.any() else None)]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
-
-    hits = rows.groupBy("segment").applyInPandas(run, "qid string, id string, distance double")
+        v = np.stack(g["values"].to_numpy()).astype(np.float32)
+        links = [np.asarray(a, np.int32) for x in g["links"] for a in x]
+        sizes = np.array([n for x in g["links"] for n in (len(x), *map(len, x))], np.int32)
+        sig = np.unique(((v[:, :24] >= 0) << np.arange(min(24, v.shape[1]))).sum(1))
+        row = {"segment": g["segment"].iloc[0], "dim": v.shape[1], "ids": g["id"].tolist(), "vectors": v.tobytes(), "entry": int(g["level"].to_numpy().argmax()), "sizes": sizes.tobytes(), "links": np.concatenate([np.zeros(0, np.int32), *links]).tobytes(), "signatures": sig.tolist()}
+        return pd.DataFrame([row])
+
+    return nodes.groupBy("segment").applyInPandas(run, PACKED)
+
+
+def _unpacked(r, metric: str) -> Graph:
+    graph = Graph(np.frombuffer(r.vectors, np.float32).reshape(-1, r.dim).astype(np.float64), 1, 1, metric)
+    sizes, links, at, i = np.frombuffer(r.sizes, np.int32).tolist(), np.frombuffer(r.links, np.int32), 0, 0
+    while i < len(sizes):
+        own = []
+        for n in sizes[i + 1 : i + 1 + sizes[i]]:
+            own.append(links[at : at + n])
+            at += n
+        graph.links.append(own)
+        i += 1 + sizes[i]
+    graph.entry = int(r.entry)
+    return graph
+
+
+def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", deleted: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """qid, id, distance (L2 squared), rank, from packed() segments (or nodes, which are packed first); only hits shuffle.
+
+    ``deleted`` ids still lead the walk but are not returned. With ``keep``, a query searches the segments that hold a vector
+    whose signs differ from its own in at most that many places, or all if there is none. The queries are few and travel
+    with the tasks.
+    """
+    rows = index if "vectors" in index.columns else packed(index)
+    if deleted is not None:
+        ids = rows.select("segment", F.explode("ids").alias("id")).join(deleted.select("id").distinct(), "id", "left_semi")
+        gone = ids.groupBy("segment").agg(F.collect_set("id").alias("gone"))
+        rows = rows.join(gone, "segment", "left")
+    else:
+        rows = rows.withColumn("gone", F.lit(None).cast("array<string>"))
+    asked = [(name, np.array(q, np.float64), sum(1 << i for i, x in enumerate(q[:24]) if x >= 0)) for name, q in queries]
+    if keep is not None:
+        sigs = F.array(*[F.struct(F.lit(n).alias("qid"), F.lit(s).cast("long").alias("sig")) for n, _, s in asked])
+        apart = lambda s: F.array_min(F.transform("signatures", lambda x: F.bit_count(x.bitwiseXOR(s))))
+        near = rows.select("segment", F.inline(F.transform(sigs, lambda q: F.struct(q["qid"].alias("qid"), apart(q["sig"]).alias("apart")))))
+        routed = near.where(F.col("apart") <= keep).groupBy("segment").agg(F.collect_set("qid").alias("here"))
+        none = [n for n, _, _ in asked if n not in {r[0] for r in near.where(F.col("apart") <= keep).select("qid").distinct().collect()}]
+        rows = rows.join(F.broadcast(routed), "segment", "left").withColumn("here", F.array_union(F.coalesce("here", F.array().cast("array<string>")), F.array(*map(F.lit, none)).cast("array<string>")))
+        rows = rows.where(F.size("here") > 0)
+    else:
+        rows = rows.withColumn("here", F.lit(None).cast("array<string>"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                graph, ids = _unpacked(r, metric), np.asarray(r.ids, object)
+                gone = np.isin(ids, list(r.gone)) if r.gone is not None else None
+                here = None if r.here is None else set(r.here)
+                own = [(n, q) for n, q, _ in asked if len(q) == r.dim and (here is None or n in here)]
+                out = [(n, ids[s], d) for n, q in own for d, s in graph.search(q, k, ef, gone)]
+                yield pd.DataFrame(out, columns=["qid", "id", "distance"])
+
+    hits = rows.drop("signatures").mapInPandas(run, "qid string, id string, distance double")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 

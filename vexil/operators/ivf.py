@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..functions import kernels as K
 from .search import rounded
 
 SAMPLE = 4096
+#: Numbers in all centroids together; they are held in every task.
+MAX_NUMBERS = 16_000_000
 
 
 def evenly(n: int, k: int) -> list[int]:
@@ -52,12 +57,54 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 8, sample: int = SAMPLE
     return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cid int, c array<double>")
 
 
+def _centroids(centroids: DataFrame):
+    """A broadcast of (cids, matrix), in order of cid; as many as lists, and checked."""
+    rows = centroids.select("cid", "c").orderBy("cid").limit(MAX_NUMBERS).collect()
+    c = np.array([list(r["c"]) for r in rows], np.float64).reshape(len(rows), -1)
+    if c.size > MAX_NUMBERS:
+        raise ValueError("too many centroids for one task")
+    return centroids.sparkSession.sparkContext.broadcast((np.array([r["cid"] for r in rows], np.int64), c))
+
+
+def nearest(v: np.ndarray, cids: np.ndarray, c: np.ndarray, most: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cid, squared distance) of the ``most`` nearest centroids of each row, in order of distance, then cid.
+
+    A matrix product finds them, with all that lie within its rounding of the last one; those are measured exactly.
+    """
+    approximate = (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * v @ c.T
+    most = min(most, len(c))
+    edge = np.partition(approximate, most - 1, axis=1)[:, most - 1]
+    i, j = np.nonzero(approximate <= (edge + 10.0 ** -(digits or 9) + 1e-9 * np.abs(edge))[:, None])
+    d = ((v[i] - c[j]) ** 2).sum(1)
+    d = d if digits is None else np.floor(d * 10**digits + 0.5) / 10**digits
+    order = np.lexsort((cids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < most
+    return i[keep], cids[j[keep]], d[keep]
+
+
 def assign(vectors: DataFrame, centroids: DataFrame, digits: int | None = None) -> DataFrame:
-    """Columns of ``vectors``, cid and d2 of the nearest centroid (lowest cid of ties). The centroids are one literal; there are as many as lists."""
-    rows = sorted((r["cid"], list(r["c"])) for r in centroids.collect())
-    table = F.array(*[F.struct(F.lit(i).alias("cid"), K.literal(c).alias("c")) for i, c in rows])
-    best = F.array_min(F.transform(table, lambda t: F.struct(rounded(K.squared_l2(F.col("values"), t["c"]), digits).alias("d2"), t["cid"].alias("cid"))))
-    return vectors.withColumn("_best", best).withColumns({"cid": F.col("_best.cid"), "d2": F.col("_best.d2")}).drop("_best")
+    """Columns of ``vectors``, cid and d2 of the nearest centroid (lowest cid of ties): one matrix product a batch, no shuffle. Rows of another dimension are left out."""
+    shared = _centroids(centroids)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name not in ("cid", "d2"))
+    kept = [c for c in vectors.columns if c not in ("cid", "d2")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cids, c = shared.value
+        for b in batches:
+            b = b[b["values"].map(len, na_action="ignore") == c.shape[1]]
+            if len(b) and len(c):
+                _, cid, d = nearest(np.stack(b["values"].to_numpy()).astype(np.float64), cids, c, 1, digits)
+                yield b.assign(cid=cid.astype(np.int32), d2=d)
+
+    return vectors.select(kept).mapInPandas(run, f"{fields}, cid int, d2 double")
+
+
+def upsert(lists: DataFrame, centroids: DataFrame, changed: DataFrame, digits: int | None = None) -> DataFrame:
+    """``lists`` after an upsert: only the changed vectors are assigned; those that were elsewhere move."""
+    new = assign(changed, centroids, digits)
+    return lists.join(changed.select("id").distinct(), "id", "left_anti").select(new.columns).unionByName(new)
 
 
 def lloyd_step(assigned: DataFrame, digits: int | None = None) -> DataFrame:
@@ -68,9 +115,17 @@ def lloyd_step(assigned: DataFrame, digits: int | None = None) -> DataFrame:
 
 def probes(queries: DataFrame, centroids: DataFrame, most: int, digits: int | None = None) -> DataFrame:
     """qid, q, cid, probe (from 1) of the ``most`` nearest lists."""
-    far = queries.select("qid", "q", F.explode(F.array(*[F.struct(F.lit(r["cid"]).alias("cid"), K.literal(r["c"]).alias("c")) for r in sorted(centroids.collect(), key=lambda r: r["cid"])])).alias("t")).select("qid", "q", "t.cid", "t.c")
-    d = rounded(K.squared_l2(F.col("q"), F.col("c")), digits)
-    return far.withColumn("probe", F.row_number().over(Window.partitionBy("qid").orderBy(d, "cid"))).where(F.col("probe") <= most).select("qid", "q", "cid", "probe")
+    shared = _centroids(centroids)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cids, c = shared.value
+        for b in batches:
+            if len(b) and len(c):
+                i, cid, _ = nearest(np.stack(b["q"].to_numpy()).astype(np.float64), cids, c, most, digits)
+                place = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                yield pd.DataFrame({"qid": b["qid"].to_numpy()[i], "q": b["q"].to_numpy()[i], "cid": cid.astype(np.int32), "probe": place.astype(np.int32)})
+
+    return queries.select("qid", "q").mapInPandas(run, "qid string, q array<double>, cid int, probe int")
 
 
 def search_lists(lists: DataFrame, probed: DataFrame, k: int, digits: int | None = None) -> DataFrame:

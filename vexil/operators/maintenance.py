@@ -79,3 +79,11 @@ def percentiles(rows: DataFrame, value: str, ps: tuple[int, ...] = (50, 95, 99))
     w = Window.partitionBy("_part").orderBy(value)
     at = own.join(F.broadcast(spark.createDataFrame(before, "_part int, _before long")), "_part").withColumn("_at", F.row_number().over(w) + F.col("_before"))
     return at.join(F.broadcast(wanted), "_at").select("p", F.col(value).alias("value"))
+
+
+def backup_verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """name, status (missing, corrupt, extra) of files that differ from a manifest(name, bytes, sha256); no row: the backup is whole."""
+    a, b = manifest.select("name", "bytes", "sha256"), found.select("name", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
+    differ = (F.col("bytes") != F.col("_bytes")) | (F.col("sha256") != F.col("_sha"))
+    status = F.when(F.col("_sha").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(differ, "corrupt")
+    return a.join(b, "name", "full").select("name", status.alias("status")).where("status is not null")

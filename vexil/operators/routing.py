@@ -56,6 +56,20 @@ def migration_delta(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.groupBy("id", "sum").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("side")).where("n = 1").select("id", "side")
 
 
+def migrated(source: DataFrame, target: DataFrame, delta: DataFrame) -> DataFrame:
+    """``target`` after one step of a migration: records of the delta go, and the source's own of them come. A step that is run again changes nothing."""
+    ids = delta.select("id").distinct()
+    kept = target.join(ids, "id", "left_anti").select("id", "values")
+    return kept.unionByName(source.join(ids, "id", "left_semi").select("id", "values"))
+
+
+def collection_checksum(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """records, checksum: a sum of record digests, so that partitions and order don't matter and partial sums add up."""
+    scaled = F.array_join(F.transform(F.col("values"), lambda v: F.round(v.cast("double") * 10**digits, 0).cast("long").cast("string")), ",")
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id"), scaled).cast("binary"), 256), 1, 12), 16, 10).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.pmod(F.sum(digest), F.lit(1_000_000_007)).cast("long").alias("checksum"))
+
+
 def record_checksum() -> Column:
     values = F.array_join(F.transform(F.col("values"), lambda v: v.cast("double").cast("string")), ",")
     return F.sha2(F.concat_ws("|", F.col("id"), values), 256)

@@ -38,3 +38,17 @@ def search_text(postings: DataFrame, query: str) -> DataFrame:
     if not terms:
         return postings.select("id").limit(0)
     return postings.where(F.col("term").isin(terms)).groupBy("id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(terms)).select("id")
+
+
+def candidates(metadata: DataFrame, pairs: dict[str, str], text: DataFrame | None = None, query: str | None = None) -> DataFrame:
+    """id of rows with all ``pairs``, by metadata_postings(), and all terms of ``query``, by text_postings(): one aggregate over the lists asked for."""
+    out = None
+    if pairs:
+        asked = metadata.where(F.struct("key", "value").isin([F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in pairs.items()]))
+        out = asked.groupBy("id").agg(F.countDistinct("key").alias("n")).where(F.col("n") == len(pairs)).select("id")
+    if query and text is not None:
+        own = search_text(text, query)
+        out = own if out is None else out.join(own, "id", "left_semi")
+    if out is None:
+        raise ValueError("nothing is asked for")
+    return out

@@ -27,7 +27,7 @@ class Collection:
 
     def with_graph(self, profile: str = "balanced", metric: str = "l2", segment_size: int = 10_000, flat: bool = False) -> Collection:
         p = graph.PROFILES[profile]
-        self.nodes = graph.build(self.vectors, p.m, p.ef_construction, metric, segment_size, flat).persist()
+        self.nodes = graph.packed(graph.build(self.vectors, p.m, p.ef_construction, metric, segment_size, flat)).persist()
         self.metric, self.ef = metric, p.ef_search
         return self
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from ..functions.kernels import projection_weight
-from .queries import ASKED, DIM, LISTS, NOW, PROBES, SHARDS
+from .queries import ASKED, DIM, EVERY, LISTS, NOW, PROBES, SHARDS
 
 V = "v AS (SELECT e.vec_id, printf('v-%06d', e.vec_id) AS id, e.embedding::DOUBLE[] AS x, e.embedding AS f, e.label, d.lang, d.source FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"
 S = V + ", s AS (SELECT vec_id, id, list_transform(x, lambda y: y * (1 + label)) AS x FROM v)"
-IDS = ", ".join(map(str, ASKED))
 
 
 def l2sq(a: str, b: str) -> str:
@@ -32,7 +31,7 @@ META = "coalesce(contains(lower({0}), '{1}'), false)"
 
 
 def batch(expr: str, of: str = "v", k: str = "10") -> str:
-    return f"""WITH {S}, q AS (SELECT 'q' || vec_id AS qid, x AS q, (vec_id % 7 + 2) AS k FROM {of} WHERE vec_id IN ({IDS})),
+    return f"""WITH {S}, q AS (SELECT 'q' || vec_id AS qid, x AS q, (vec_id % 7 + 2) AS k FROM {of} WHERE vec_id % {EVERY} = 0),
         d AS (SELECT qid, k, id, round({expr.format(a='x', b='q')}, 6) + 0.0 AS distance FROM {of}, q)
         SELECT qid, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d) WHERE rank <= {k}"""
 
@@ -65,7 +64,7 @@ CODES = f"{LONG}, c AS (SELECT id, lf.dim::INT AS dim, CASE WHEN hi - lo <= 0 TH
 PERM = "mu AS (SELECT dim, avg(val::DOUBLE) AS mean FROM lf GROUP BY dim), va AS (SELECT lf.dim, round(sum((val::DOUBLE - mean) * (val::DOUBLE - mean)), 6) AS var FROM lf JOIN mu ON lf.dim = mu.dim GROUP BY lf.dim), p AS (SELECT (row_number() OVER (ORDER BY var DESC, dim) - 1)::INT AS pos, dim::INT AS dim FROM va)"
 CENT = f"nn AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM v), ce AS (SELECT i AS cid, x AS c FROM nn JOIN (SELECT unnest(range(0, {LISTS})) AS i) ON place = i * (n - 1) // {LISTS - 1})"
 CELL = f"{CENT}, dd AS (SELECT id, label, x, cid, round({l2sq('x', 'c')}, 6) AS d2 FROM v, ce), li AS (SELECT id, label, x, cid, d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cid) AS r FROM dd) WHERE r = 1)"
-PROBE = f"q AS (SELECT 'q' || vec_id AS qid, x AS q FROM v WHERE vec_id IN ({IDS})), pr AS (SELECT qid, q, cid, row_number() OVER (PARTITION BY qid ORDER BY round({l2sq('q', 'c')}, 6), cid) AS probe FROM q, ce)"
+PROBE = f"q AS (SELECT 'q' || vec_id AS qid, x AS q FROM v WHERE vec_id % {EVERY} = 0), pr AS (SELECT qid, q, cid, row_number() OVER (PARTITION BY qid ORDER BY round({l2sq('q', 'c')}, 6), cid) AS probe FROM q, ce)"
 
 
 def ivf_top(lists: str, probes: str, k: int = 5) -> str:
@@ -173,5 +172,22 @@ ORACLE: dict[str, str] = {
     "stats_counters": f"WITH {V}, s AS (SELECT {FNV.format('id')} % 4 AS shard, count(*) AS n, count(*) FILTER (label = 4) AS t FROM v GROUP BY 1) SELECT count(*) AS shards, sum(n)::BIGINT AS vectors, sum(t)::BIGINT AS tombstones, max(n) AS largest, bool_and(n > 10) AS ready FROM s",
     "latency_percentiles": "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT p::INT AS p, value FROM r JOIN (VALUES (50), (95), (99)) t(p) ON place = greatest(1, (n * p + 99) // 100)",
     "loadgen_vectors": "SELECT printf('load-%06d', s) AS id, i::INT AS dim, round(42200.0 + (s % 10) * 10 + sin(s + i) * 0.25 + ((s + i) % 7) / 100.0, 6) AS value FROM range(0, 200) a(s), range(0, 8) b(i)".replace("42200.0", str(float(sum(map(ord, "load")) % 1000) * 100)),
-    "kv_prefix": "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'p')",
+    "kv_prefix": "SELECT key, value FROM (SELECT 'user:' || user_id AS key, event_type, round(value, 4) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error' AND starts_with(key, 'user:1')",
+    "knn_planned": knn(SQUARED, where=f"label = 3 AND lang = 'en' AND {META.format('source', 'src')}"),
+    "ivf_upsert": f"""WITH {V}, {CENT}, w AS (SELECT id, CASE WHEN label = 5 THEN list_transform(f, lambda y: (y + 1)::FLOAT)::DOUBLE[] ELSE x END AS x FROM v),
+        d AS (SELECT id, cid, {l2sq('x', 'c')} AS d2 FROM w, ce), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d2, 6), cid) AS n FROM d)
+        SELECT id, cid::INT AS cid, round(round(d2, 6), 4) AS d2 FROM r WHERE n = 1""",
+    "reshard_apply": f"WITH {V} SELECT id, round(x[1], 6) AS first FROM v",
+    "collection_checksum": f"""WITH {V}, h AS (SELECT sha256(id || '|' || array_to_string(list_transform(x, lambda y: round(y * 10000)::BIGINT), ',')) AS s FROM v)
+        SELECT count(*) AS records, (sum(('0x' || s[1:12])::BIGINT) % 1000000007)::BIGINT AS checksum FROM h""",
+    "backup_verify": """WITH a AS (SELECT s_name AS name, s_suppkey * 10 AS bytes, sha256(s_name || '0') AS sha FROM supplier WHERE s_suppkey % 7 <> 0),
+        b AS (SELECT s_name AS name, s_suppkey * 10 + g AS bytes, sha256(s_name || g) AS sha FROM (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS g FROM supplier) WHERE (s_suppkey * 10 + g) % 3 <> 0),
+        c AS (SELECT name, CASE WHEN b.sha IS NULL THEN 'missing' WHEN a.sha IS NULL THEN 'extra' WHEN a.sha <> b.sha OR a.bytes <> b.bytes THEN 'corrupt' END AS status FROM a FULL JOIN b USING (name))
+        SELECT name, status FROM c WHERE status IS NOT NULL""",
+    "replay_metadata": """WITH e AS (SELECT user_id::VARCHAR AS id, event_id AS o, event_type AS t, value FROM events),
+        l AS (SELECT id, coalesce(max(o) FILTER (t = 'error'), -1) AS gone, max(o) FILTER (t NOT IN ('error', 'view')) AS up, max(o) FILTER (t = 'view') AS me FROM e GROUP BY id)
+        SELECT l.id, round(e.value::FLOAT::DOUBLE, 4) AS value, CASE WHEN me > gone THEN me::VARCHAR END AS seen FROM l JOIN e ON e.o = l.up AND e.id = l.id WHERE up > gone""",
+    **{k: f"SELECT count(*) AS compared, true AS ok FROM embeddings WHERE vec_id % {EVERY} = 0" for k in ("graph_recall_ok", "hnsw_recall_ok", "hnsw_cosine_recall_ok", "ivf_recall_ok")},
+    "hnsw_diagnostics": f"""WITH {V}, p AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 500 AS segment FROM v)
+        SELECT segment::INT AS segment, count(*) AS nodes, 0::BIGINT AS self_links, 0::BIGINT AS double_links, 0::BIGINT AS too_many, true AS ok FROM p GROUP BY 1""",
 }

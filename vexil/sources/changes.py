@@ -74,3 +74,10 @@ def latest(log: DataFrame, key: str = "id") -> DataFrame:
     """The last change of each key, deletes included."""
     w = Window.partitionBy(key).orderBy(F.desc("offset"))
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def kv_state(log: DataFrame, prefix: str = "") -> DataFrame:
+    """key, value of a key-value log (offset, op put / delete, key, value): the last put of each key that no delete follows. The prefix reaches the scan."""
+    own = log.where(F.col("key").startswith(prefix) & F.col("op").isin("put", "delete"))
+    last = own.groupBy("key").agg(F.max_by(F.struct("op", "value"), "offset").alias("c"))
+    return last.where("c.op = 'put'").select("key", "c.value")

@@ -74,6 +74,17 @@ class Store:
         last = self.spark.read.parquet(f"{self.path}/{part}").agg(F.max("offset")).first()[0]
         return self._publish(old, part, last if last is not None else old["offset"], False)
 
+    def append_log(self, log: DataFrame) -> int:
+        """Write changes of all kinds as they are; their offsets follow the last one here and keep their order."""
+        old = self.manifest()
+        part = f"parts/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+        low, high = log.agg(F.min("offset"), F.max("offset")).first()
+        if low is None:
+            return old["version"]
+        shift = old["offset"] + 1 - low
+        log.select((F.col("offset") + F.lit(shift)).alias("offset"), "op", "id", "values", "metadata").write.parquet(f"{self.path}/{part}")
+        return self._publish(old, part, high + shift, False)
+
     def upsert(self, rows: DataFrame) -> int:
         return self.append("upsert", rows)
 

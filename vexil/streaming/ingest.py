@@ -28,17 +28,11 @@ def follow(spark: SparkSession, log_path: str, files: int = 1) -> DataFrame:
 
 
 def replicate(changes: DataFrame, target: Store, checkpoint: str, after: int = 0) -> StreamingQuery:
-    """Apply a followed log to another store: the last change of each id of a batch, offsets up to ``after`` skipped."""
-
-    def apply(df: DataFrame, _: int) -> None:
-        rows = df.where(F.col("offset") > after)
-        last = rows.groupBy("id").agg(F.max_by(F.struct("op", "values", "metadata"), "offset").alias("c")).select("id", "c.*").persist()
-        if last.where("op = 'upsert'").limit(1).count():
-            target.upsert(last.where("op = 'upsert'"))
-        if last.where("op = 'delete'").limit(1).count():
-            target.append("delete", last.where("op = 'delete'").select("id"))
-        last.unpersist()
+    """Apply a followed log to another store: every change of every kind, in the order of offsets; those up to ``after`` are skipped.
 
+    A batch that is retried after its commit is appended again; the same changes in the same order leave the same state.
+    """
+    apply = lambda df, _: target.append_log(df.where(F.col("offset") > after).dropDuplicates(["offset", "id"]))
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
