@@ -176,7 +176,7 @@ ORACLE: dict[str, str] = {
     "knn_planned": knn(SQUARED, where=f"label = 3 AND lang = 'en' AND {META.format('source', 'src')}"),
     "ivf_upsert": f"""WITH {V}, {CENT}, w AS (SELECT id, CASE WHEN label = 5 THEN list_transform(f, lambda y: (y + 1)::FLOAT)::DOUBLE[] ELSE x END AS x FROM v),
         d AS (SELECT id, cid, {l2sq('x', 'c')} AS d2 FROM w, ce), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d2, 6), cid) AS n FROM d)
-        SELECT id, cid::INT AS cid, round(round(d2, 6), 4) AS d2 FROM r WHERE n = 1""",
+        SELECT id, cid::INT AS cid, round(d2, 6) AS d2 FROM r WHERE n = 1""",
     "reshard_apply": f"WITH {V} SELECT id, round(x[1], 6) AS first FROM v",
     "collection_checksum": f"""WITH {V}, h AS (SELECT sha256(id || '|' || array_to_string(list_transform(x, lambda y: round(y * 10000)::BIGINT), ',')) AS s FROM v)
         SELECT count(*) AS records, (sum(('0x' || s[1:12])::BIGINT) % 1000000007)::BIGINT AS checksum FROM h""",

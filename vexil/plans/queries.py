@@ -509,7 +509,7 @@ def knn_planned(spark, sf):
 def ivf_upsert(spark, sf):
     lists, c = _ivf(spark, sf)
     moved = base(spark, sf).where("label = 5").withColumn("values", F.transform("values", lambda x: (x + 1).cast("float")))
-    return ivf.upsert(lists, c, moved, digits=6).select("id", "cid", F.round("d2", 4).alias("d2"))
+    return ivf.upsert(lists, c, moved, digits=6).select("id", "cid", "d2")
 
 
 @query
