@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from vexil.llm.substring_dedup import maximal_repeats, remove_repeats
+from vexil.llm.substring_dedup import maximal_repeats, remove_repeats, repeated_spans
 
 SF = "/root/testdata/sf0.01"
 
@@ -97,9 +98,16 @@ def test_colliding_words(spark):
 
 def test_maximal_repeats_list_all_occurrences():
     whole = [b"xxabcd", b"yxabce", b"zxabcf", b"zzabcd", b"qqabqq"]
-    got = {(frozenset(i.tolist()), e, d) for i, e, d in maximal_repeats([w[2:] for w in whole], [w[:2][::-1] for w in whole], 2)}
+    right, left = [w[2:] for w in whole], [w[:2][::-1] for w in whole]
+    got = {(frozenset(i.tolist()), int(e), int(d)) for i, e, d in maximal_repeats(right, left, 2)}
     # abcd twice, xabc three times, abc four times, ab five times; bc or abc with one more to the left are parts of these
     assert got == {(frozenset([0, 3]), 0, 4), (frozenset([0, 1, 2]), 1, 3), (frozenset([0, 1, 2, 3]), 0, 3), (frozenset(range(5)), 0, 2)}
+    r = random.Random(5)
+    for _ in range(200):
+        text = lambda n: bytes(r.choice(b"ab") for _ in range(r.randrange(n)))
+        right, left = [b"a" + text(9) for _ in range(12)], [text(7) for _ in range(12)]
+        byte = lambda found: {(int(i), x) for who, e, d in found for i, own in zip(who, np.broadcast_to(e, len(who))) for x in range(-int(own), int(d))}
+        assert byte(maximal_repeats(right, left, 4)) == byte(repeated_spans(right, left, 4))
 
 
 def test_text_and_empty(spark):

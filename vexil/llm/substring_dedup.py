@@ -39,7 +39,7 @@ NAMED, HEAVY = 8, 100_000
 #: Rows of heavy anchors (a long each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 #: Contexts, about, that are handled together.
-BATCH = 12_000
+BATCH = 8_000
 
 KINDS = "kind int, kh long, c1 long, c2 long, rid long, pos int, l int, r int, n int"
 SETTLED, ANCHOR, ASKED, MANY = 0, 1, 2, 3
@@ -278,12 +278,11 @@ def _sorted(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[tuple[np.ndarray, int, int]]:
-    """[(all occurrences, common left extension, common right)] of the maximal repeats of ``length`` bytes and more.
+def _agreeing(right: list[bytes], left: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, _Least]]:
+    """(common right, members in order of their left parts, common left of each with the one before, places, common right by places) of each interval.
 
     ``right`` are the contexts from the anchor on, ``left`` those before it, reversed. An interval of the suffix array is a
-    set that agrees to the right as far as it can; an interval of the left order within it is a subset whose members differ
-    in the byte to the left of what they share. Those that agree further to the right are left to a deeper interval.
+    set that agrees to the right as far as it can.
     """
     m = len(right)
     l_size = np.array(list(map(len, left)))
@@ -291,7 +290,7 @@ def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[
     by_left, left_lcp = _sorted(left)
     rank, place = np.empty(m, np.int64), np.empty(m, np.int64)
     rank[by_left], place[order] = np.arange(m), np.arange(m)
-    near_left, near_right, out = _Least(left_lcp), _Least(lcp), []
+    near_left, near_right = _Least(left_lcp), _Least(lcp)
     for depth, first, last in _intervals(lcp):
         if last == first:
             continue
@@ -301,13 +300,42 @@ def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> list[
             continue
         own = own[np.argsort(rank[own])]
         common = np.append(0, near_left(rank[own[:-1]] + 1, rank[own[1:]]))
-        if not (common[1:] + depth >= length).any():
-            continue
-        groups = [(e, a, b) for e, a, b in _intervals(common) if b > a and e + depth >= length]
-        lo = np.array([place[own[a : b + 1]].min() for _, a, b in groups])
-        hi = np.array([place[own[a : b + 1]].max() for _, a, b in groups])
-        diverse = near_right(lo + 1, hi) == depth
-        out += [(own[a : b + 1], e, depth) for (e, a, b), d in zip(groups, diverse.tolist(), strict=True) if d]
+        if (common[1:] + depth >= length).any():
+            yield depth, own, common, place[own], near_right
+
+
+def maximal_repeats(right: list[bytes], left: list[bytes], length: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(all occurrences, common left extension, common right) of the maximal repeats of ``length`` bytes and more.
+
+    An interval of the left order within one of the suffix array is a subset whose members differ in the byte to the left of
+    what they share. Those that agree further to the right are left to a deeper interval.
+    """
+    for depth, own, common, place, near_right in _agreeing(right, left, length):
+        for ext, a, b in _intervals(common):
+            if b > a and ext + depth >= length:
+                at = place[a : b + 1]
+                if near_right(at.min(keepdims=True) + 1, at.max(keepdims=True))[0] == depth:
+                    yield own[a : b + 1], ext, depth
+
+
+def repeated_spans(right: list[bytes], left: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """[(members, bytes to the left that each shares, bytes to the right)]: the spans of maximal_repeats() without listing every group.
+
+    A member's longest extension is shared with a neighbour in the left order. Where both agree further to the right, a
+    deeper interval holds them with no less to the left, so nothing is lost here.
+    """
+    out = []
+    for depth, own, common, place, near_right in _agreeing(right, left, length):
+        k = np.flatnonzero(common[1:] + depth >= length)
+        x, y = place[k], place[k + 1]
+        k = k[near_right(np.minimum(x, y) + 1, np.maximum(x, y)) == depth]
+        ext = np.zeros(len(own), np.int64)
+        np.maximum.at(ext, k, common[k + 1])
+        np.maximum.at(ext, k + 1, common[k + 1])
+        some = ext + depth >= length
+        some[np.setdiff1d(np.arange(len(own)), np.append(k, k + 1))] = False
+        if some.any():
+            out.append((own[some], ext[some], depth))
     return out
 
 
@@ -320,7 +348,7 @@ def cover(ctx: list[bytes], left: np.ndarray, length: int, gram: int, span: tupl
     """
     m = len(ctx)
     if m <= held and span is None:
-        return _flat(maximal_repeats([c[x:] for c, x in zip(ctx, left.tolist(), strict=True)], [c[:x][::-1] for c, x in zip(ctx, left.tolist(), strict=True)], length))
+        return _flat(repeated_spans([c[x:] for c, x in zip(ctx, left.tolist(), strict=True)], [c[:x][::-1] for c, x in zip(ctx, left.tolist(), strict=True)], length))
     lo, hi = span or (0, length - gram)
     size = np.array(list(map(len, ctx)))
     fits = np.flatnonzero((left >= lo) & (size - left >= length - hi))
@@ -345,11 +373,11 @@ def cover(ctx: list[bytes], left: np.ndarray, length: int, gram: int, span: tupl
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
-def _flat(found: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, np.int64)
     return (
         np.concatenate([empty, *(i for i, _, _ in found)]),
-        np.concatenate([empty, *(np.full(len(i), -e, np.int64) for i, e, _ in found)]),
+        np.concatenate([empty, *(-e for _, e, _ in found)]),
         np.concatenate([empty, *(np.full(len(i), d, np.int64) for i, _, d in found)]),
     )
 
