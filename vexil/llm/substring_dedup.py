@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, text_or_empty
+from .common import cut, free, small_batches, text_or_empty
 from .textnum import mix, prefix_sums, released, slid_hash
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text held as arrays at once, and anchors that a task combines at once.
-CHUNK, COMBINED = 2 << 20, 800_000
+CHUNK, COMBINED = 1 << 20, 500_000
 #: Contexts of one anchor that one suffix array holds; more are parted by what their windows share.
 HELD = 2048
 #: Contexts of an anchor that make a partition name it, and contexts (of 700 bytes at most) that a task may hold of one anchor.
@@ -481,6 +481,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     carried. Where a cut parts a character, the rest of the text drops its halves.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text")).withColumn("rid", F.xxhash64("doc_id", "_text"))
     long = docs.select("rid", "_text").where(F.octet_length("_text") >= length)
     found = cut(find_anchors(long, length, gram, named))
