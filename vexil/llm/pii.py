@@ -113,7 +113,7 @@ def spans_of(kind: str, text: Column) -> Column:
     score = lambda s: F.lit(PRIOR[kind]) + F.when(F.rlike(F.lower(s["near"]), hint), F.lit(0.2)).otherwise(F.lit(0.0))
     scored = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     may = F.contains(text, F.lit(TELLING[kind])) if TELLING[kind] else F.lit(True)
-    shape = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"(?i)(?:token|secret|passw|key)"}.get(kind)
+    shape = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=.-]{16}"}.get(kind)
     may = may & text.rlike(shape) if shape else may
     return F.when(may, scored).otherwise(F.array().cast("array<struct<start:int,`end`:int,score:double>>"))
 
