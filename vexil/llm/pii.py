@@ -31,6 +31,10 @@ PATTERNS = {
 }
 #: Cheap tests that every text with a match passes.
 TELLING = {"email": "@", "ip": None, "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
+SHAPES = {
+    "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]",
+    "secret": r"[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=.-]{16}",
+}
 CONTEXT = {
     "email": "mail|contact|write to", "ip": "address|host|server|login", "card": "card|visa|master|credit|payment", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer", "ssn": "ssn|social|security|insurance",
@@ -82,11 +86,21 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once; inside a condition Spark would compute it wherever it is named."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """array<struct<start, end, score>> of the confirmed matches of one kind. Context are the ends of the pieces around a match."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, PATTERNS[kind])
+    cut = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("found"), F.split(text, PATTERNS[kind]).alias("pieces"))
+    scored = once(cut, lambda c: _scored(kind, c["found"], c["pieces"]))
+    may = F.contains(text, F.lit(TELLING[kind])) if TELLING[kind] else F.lit(True)
+    may = may & text.rlike(SHAPES[kind]) if kind in SHAPES else may
+    return F.when(may, scored).otherwise(F.array().cast("array<struct<start:int,`end`:int,score:double>>"))
+
+
+def _scored(kind: str, found: Column, pieces: Column) -> Column:
     n = F.size(found)
     # Ends of what stands around a match: a piece, and the match and piece beyond it where that one is short.
     none, last = F.array(F.lit("")), F.lit(WINDOW)
@@ -95,7 +109,17 @@ def spans_of(kind: str, text: Column) -> Column:
     behind = ends(lambda x: F.left(F.concat(F.left(x["p0"], last), x["p1"], F.left(x["p2"], last)), last), (pieces, 2), (F.concat(found, none), 2), (F.concat(pieces, none), 3))
     met = F.arrays_zip(F.transform(F.slice(pieces, 1, n), F.length).alias("g"), found.alias("m"), ahead.alias("a"), behind.alias("z"))
     size = lambda x: x["g"] + F.length(x["m"])
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"), F.lit(GROUP)), lambda i: F.slice(met, i + 1, GROUP))
+    groups = once(met, lambda m: F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)).cast("int"), F.lit(GROUP)), lambda i: F.slice(m, i + 1, GROUP)))
+    placed = once(groups, lambda g: _placed(g))
+    valid = F.filter(placed, lambda s: confirmed(kind, s["m"]))
+    hint = F.lit(f"\\b(?:{CONTEXT[kind]})")
+    score = lambda s: F.lit(PRIOR[kind]) + F.when(F.rlike(F.lower(s["near"]), hint), F.lit(0.2)).otherwise(F.lit(0.0))
+    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
+
+
+def _placed(groups: Column) -> Column:
+    """Start, end, match and context of all matches of groups(array of arrays of g, m, a, z)."""
+    size = lambda x: x["g"] + F.length(x["m"])
     # Where each group starts: only as many additions to an array as there are groups, and then as matches within one.
     starts = F.aggregate(
         F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + size(x))),
@@ -104,18 +128,10 @@ def spans_of(kind: str, text: Column) -> Column:
     )["out"]
     empty = F.array().cast("array<struct<start:int,`end`:int,m:string,near:string>>")
     span = lambda at, x: F.struct((at + x["g"]).alias("start"), (at + size(x)).alias("end"), x["m"].alias("m"), F.concat_ws(" ", x["a"], x["z"]).alias("near"))
-    placed = F.flatten(F.zip_with(groups, starts, lambda g, at: F.aggregate(
+    return F.flatten(F.zip_with(groups, starts, lambda g, at: F.aggregate(
         g, F.struct(at.alias("at"), empty.alias("out")),
         lambda s, x: F.struct((s["at"] + size(x)).alias("at"), F.concat(s["out"], F.array(span(s["at"], x))).alias("out")),
     )["out"]))
-    valid = F.filter(placed, lambda s: confirmed(kind, s["m"]))
-    hint = F.lit(f"\\b(?:{CONTEXT[kind]})")
-    score = lambda s: F.lit(PRIOR[kind]) + F.when(F.rlike(F.lower(s["near"]), hint), F.lit(0.2)).otherwise(F.lit(0.0))
-    scored = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
-    may = F.contains(text, F.lit(TELLING[kind])) if TELLING[kind] else F.lit(True)
-    shape = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=.-]{16}"}.get(kind)
-    may = may & text.rlike(shape) if shape else may
-    return F.when(may, scored).otherwise(F.array().cast("array<struct<start:int,`end`:int,score:double>>"))
 
 
 def named(kind: str) -> Callable[[Column], Column]:
