@@ -29,6 +29,12 @@ def squared_l2(a: Column, b: Column) -> Column:
     return _same_size(a, b, _fold(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def squared_l2_float(a: Column, b: Column) -> Column:
+    """Differences in float arithmetic, squares and sum in double."""
+    d = F.zip_with(a, b, lambda x, y: (x.cast("float") - y.cast("float")).cast("double"))
+    return _same_size(a, b, F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+
+
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(squared_l2(a, b))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from .routing import segments
+from .search import knn_batch
 
 NODES = "segment int, slot int, id string, values array<float>, level int, links array<array<int>>"
 
@@ -169,16 +171,20 @@ class Graph:
         return self.beam(q, start, max(ef, k), 0, banned)[:k]
 
 
-def build(vectors: DataFrame, m: int = 16, ef: int = 64, metric: str = "l2", segment_size: int = 10_000, flat: bool = False) -> DataFrame:
-    """Nodes of all segments: segment, slot, id, values, level, links (of each level). Rows of other dimensions than a segment's first are left out."""
-
+def _building(m: int, ef: int, metric: str, flat: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
         g = g[g["values"].map(len) == len(g["values"].iloc[0])]
         graph = Graph(np.stack(g["values"].to_numpy()).astype(np.float64), m, ef, metric, flat).build()
         return pd.DataFrame({"segment": g["segment"].to_numpy(), "slot": np.arange(len(g), dtype=np.int32), "id": g["id"].to_numpy(), "values": g["values"].to_numpy(), "level": [len(x) - 1 for x in graph.links], "links": [[a.tolist() for a in x] for x in graph.links]})
 
-    return segments(vectors.select("id", "values"), segment_size).select("segment", "id", "values").groupBy("segment").applyInPandas(run, NODES)
+    return run
+
+
+def build(vectors: DataFrame, m: int = 16, ef: int = 64, metric: str = "l2", segment_size: int = 10_000, flat: bool = False) -> DataFrame:
+    """Nodes of all segments: segment, slot, id, values, level, links (of each level). Rows of other dimensions than a segment's first are left out."""
+    own = segments(vectors.select("id", "values"), segment_size).select("segment", "id", "values")
+    return own.groupBy("segment").applyInPandas(_building(m, ef, metric, flat), NODES)
 
 
 PACKED = "segment int, dim int, ids array<string>, vectors binary, entry int, sizes binary, links binary, signatures array<long>"
@@ -202,8 +208,93 @@ def packed(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("segment").applyInPandas(run, PACKED)
 
 
+def _vectors(r) -> np.ndarray:
+    """The vectors of a packed row, decoded where it is quantized."""
+    if getattr(r, "lo", None) is None:
+        return np.frombuffer(r.vectors, np.float32).reshape(-1, r.dim)
+    lo, hi = np.frombuffer(r.lo, np.float32), np.frombuffer(r.hi, np.float32)
+    return lo + (hi - lo) * np.frombuffer(r.vectors, np.uint8).reshape(-1, r.dim).astype(np.float32) / np.float32(255)
+
+
+def quantized(index: DataFrame) -> DataFrame:
+    """packed() segments with a byte a value, of the span that each dimension has in its own segment. Searches walk the codes; rescore() makes their distances exact."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lows, highs, codes = [], [], []
+            for r in b.itertuples(index=False):
+                v = _vectors(r)
+                lo, hi = v.min(0), v.max(0)
+                span = np.where(hi > lo, hi - lo, np.float32(1))
+                codes.append(np.floor(np.clip((v - lo) / span, 0, 1) * np.float32(255) + np.float32(0.5)).astype(np.uint8).tobytes())
+                lows.append(lo.tobytes())
+                highs.append(hi.tobytes())
+            yield b.assign(vectors=codes, lo=lows, hi=highs)
+
+    return index.mapInPandas(run, f"{PACKED}, lo binary, hi binary")
+
+
+def stored(index: DataFrame) -> DataFrame:
+    """segment, id, values of packed() segments."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame({"segment": np.int32(r.segment), "id": list(r.ids), "values": list(_vectors(r).astype(np.float32))})
+
+    return index.mapInPandas(run, "segment int, id string, values array<float>")
+
+
+def catalog(index: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """segment, first_id, last_id, nodes, live of packed() segments."""
+    ids = index.select("segment", F.explode("ids").alias("id"))
+    if deleted is None:
+        ids = ids.withColumn("_gone", F.lit(False))
+    else:
+        ids = ids.join(deleted.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left")
+    return ids.groupBy("segment").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("_gone").isNull() | ~F.col("_gone")).alias("live"))
+
+
+def mergeable(segment_catalog: DataFrame, most: int = 10_000) -> DataFrame:
+    """segment of the leading segments whose live nodes fit one segment together; none where fewer than two do. The window holds a row a segment."""
+    so_far = segment_catalog.withColumn("_sum", F.sum("live").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)))
+    first = segment_catalog.agg(F.min("segment").alias("_first"))
+    own = so_far.crossJoin(F.broadcast(first)).where((F.col("_sum") <= most) | (F.col("segment") == F.col("_first")))
+    return own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("_n > 1").select("segment")
+
+
+def compacted(index: DataFrame, deleted: DataFrame, most: int = 10_000, m: int = 16, ef: int = 64, metric: str = "l2") -> DataFrame:
+    """``index`` with the mergeable() segments rebuilt as one without deleted ids, under the number of the first; the others stay as they are.
+
+    No more than ``most`` vectors meet in the task that builds. ``index`` should be written, since it is read twice.
+    """
+    chosen = mergeable(catalog(index, deleted), most)
+    live = stored(index.join(chosen, "segment", "left_semi")).join(deleted.select("id").distinct(), "id", "left_anti")
+    one = chosen.agg(F.min("segment").alias("segment"))
+    merged = live.select("id", "values").crossJoin(F.broadcast(one)).select("segment", "id", "values").groupBy("segment").applyInPandas(_building(m, ef, metric, False), NODES)
+    return index.join(chosen, "segment", "left_anti").unionByName(packed(merged), allowMissingColumns=True)
+
+
+def rescore(hits: DataFrame, vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2") -> DataFrame:
+    """qid, id, distance (L2 squared), rank of the ``k`` best of hits(qid, id), measured on the stored vectors; ids that are gone or of another dimension drop out."""
+    qs = vectors.sparkSession.createDataFrame([(n, [float(x) for x in q]) for n, q in queries], "qid string, _q array<double>")
+    near = vectors.select("id", "values").join(hits.select("qid", "id").distinct(), "id").join(qs, "qid")
+    d = K.distance(metric, F.col("_q"), F.col("values"), squared=True)
+    scored = near.select("qid", "id", d.alias("distance")).where(~F.isnan("distance"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def search_live(index: DataFrame, changed: DataFrame, deleted: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2") -> DataFrame:
+    """As search(), of an index and what changed since: ``changed`` vectors (new, moved or revived) are scanned exactly and hide the index's own, ``deleted`` ids are nowhere."""
+    fresh = changed.select("id", "values").join(deleted.select("id"), "id", "left_anti")
+    hidden = deleted.select("id").unionByName(changed.select("id"))
+    qs = index.sparkSession.createDataFrame([(n, [float(x) for x in q]) for n, q in queries], "qid string, q array<double>")
+    both = search(index, queries, k, ef, metric, hidden).drop("rank").unionByName(knn_batch(fresh, qs, metric, k, squared=True).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
 def _unpacked(r, metric: str) -> Graph:
-    graph = Graph(np.frombuffer(r.vectors, np.float32).reshape(-1, r.dim).astype(np.float64), 1, 1, metric)
+    graph = Graph(_vectors(r).astype(np.float64), 1, 1, metric)
     sizes, links, at, i = np.frombuffer(r.sizes, np.int32).tolist(), np.frombuffer(r.links, np.int32), 0, 0
     while i < len(sizes):
         own = []

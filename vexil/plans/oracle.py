@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.kernels import projection_weight
-from .queries import ASKED, DIM, EVERY, LISTS, NOW, PROBES, SHARDS
+from .queries import ASKED, DIM, EVERY, LISTS, NOW, PAGE, PROBES, SHARDS
 
 V = "v AS (SELECT e.vec_id, printf('v-%06d', e.vec_id) AS id, e.embedding::DOUBLE[] AS x, e.embedding AS f, e.label, d.lang, d.source FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"
 S = V + ", s AS (SELECT vec_id, id, list_transform(x, lambda y: y * (1 + label)) AS x FROM v)"
@@ -36,6 +36,13 @@ def batch(expr: str, of: str = "v", k: str = "10") -> str:
         SELECT qid, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d) WHERE rank <= {k}"""
 
 
+def searched(state: str) -> str:
+    """Exact search of a state(vec_id, id, x) of the vectors for the vectors as they were."""
+    return f"""WITH {V}, t AS ({state}), q AS (SELECT 'q' || vec_id AS qid, x AS q FROM v WHERE vec_id % {EVERY} = 0),
+        d AS (SELECT qid, id, round({l2sq('x', 'q')}, 6) + 0.0 AS distance FROM t, q)
+        SELECT qid, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10"""
+
+
 def text_where(q: str) -> str:
     return f"(contains(lower(id), '{q}') OR contains('label', '{q}') OR (lang IS NOT NULL AND (contains('lang', '{q}') OR contains(lower(lang), '{q}'))) OR (source IS NOT NULL AND (contains('source', '{q}') OR contains(lower(source), '{q}'))) OR contains(label::VARCHAR, '{q}'))"
 
@@ -128,7 +135,7 @@ ORACLE: dict[str, str] = {
     "delete_anti": f"WITH {V} SELECT id, label FROM v WHERE label <> 4",
     "delete_missing": f"WITH {V} SELECT printf('v-%06d', i) AS id FROM range(0, 5000, 250) t(i) WHERE printf('v-%06d', i) NOT IN (SELECT id FROM v)",
     "id_mapping": f"WITH {V} SELECT id, row_number() OVER (ORDER BY id) AS internal FROM v",
-    "id_mapping_conflicts": f"WITH {V}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM v), i AS (SELECT id, CASE WHEN vec_id % 10 = 0 THEN vec_id + 2 ELSE vec_id + 1 END AS n FROM v WHERE vec_id < 50) SELECT DISTINCT i.id, i.n AS internal FROM i JOIN k ON (i.id = k.id AND i.n <> k.n) OR (i.n = k.n AND i.id <> k.id)",
+    "id_mapping_conflicts": f"WITH {V}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM v), i AS (SELECT id, CASE WHEN vec_id % 10 = 0 THEN vec_id + 2 ELSE vec_id + 1 END AS n FROM v) SELECT DISTINCT i.id, i.n AS internal FROM i JOIN k ON (i.id = k.id AND i.n <> k.n) OR (i.n = k.n AND i.id <> k.id)",
     "text_ngram_postings": f"WITH {V}, t AS (SELECT id, unnest(list_distinct(list_concat({GRAMS.format(TOKEN.format(chr(99) + 'oalesce(lang, ' + chr(39) * 2 + ')'))}, {GRAMS.format(TOKEN.format(chr(99) + 'oalesce(source, ' + chr(39) * 2 + ')'))}))) AS term FROM v) SELECT term, count(*) AS n FROM t GROUP BY term",
     "text_search": f"WITH {V} SELECT id FROM v WHERE contains(source, 'src1') AND (lang = 'en')",
     "meta_postings": f"WITH {V}, p AS (SELECT id, 'label' AS key, label::VARCHAR AS value FROM v UNION ALL SELECT id, 'lang', lang FROM v WHERE lang IS NOT NULL UNION ALL SELECT id, 'source', source FROM v WHERE source IS NOT NULL) SELECT key, value, count(*) AS n, min(id) AS first FROM p GROUP BY key, value",
@@ -167,7 +174,7 @@ ORACLE: dict[str, str] = {
     "backup_diff": f"SELECT * FROM {DIFF}",
     "backup_restore": manifest(1),
     "vector_map": f"WITH {V}, {MAP.format(where='true')} SELECT id, x, y FROM pt",
-    "vector_map_edges": f"""WITH {V}, {MAP.format(where='vec_id < 300')}, e AS (SELECT a.id AS source, b.id AS target, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) AS d2 FROM pt a, pt b WHERE a.id <> b.id)
+    "vector_map_edges": f"""WITH {V}, {MAP.format(where=f'id IN (SELECT id FROM v ORDER BY id LIMIT {PAGE})')}, e AS (SELECT a.id AS source, b.id AS target, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) AS d2 FROM pt a, pt b WHERE a.id <> b.id)
         SELECT source, target, round(1 / (1 + sqrt(d2)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d2, target) AS r FROM e) WHERE r = 1 AND source < target""",
     "stats_counters": f"WITH {V}, s AS (SELECT {FNV.format('id')} % 4 AS shard, count(*) AS n, count(*) FILTER (label = 4) AS t FROM v GROUP BY 1) SELECT count(*) AS shards, sum(n)::BIGINT AS vectors, sum(t)::BIGINT AS tombstones, max(n) AS largest, bool_and(n > 10) AS ready FROM s",
     "latency_percentiles": "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT p::INT AS p, value FROM r JOIN (VALUES (50), (95), (99)) t(p) ON place = greatest(1, (n * p + 99) // 100)",
@@ -187,6 +194,17 @@ ORACLE: dict[str, str] = {
     "replay_metadata": """WITH e AS (SELECT user_id::VARCHAR AS id, event_id AS o, event_type AS t, value FROM events),
         l AS (SELECT id, coalesce(max(o) FILTER (t = 'error'), -1) AS gone, max(o) FILTER (t NOT IN ('error', 'view')) AS up, max(o) FILTER (t = 'view') AS me FROM e GROUP BY id)
         SELECT l.id, round(e.value::FLOAT::DOUBLE, 4) AS value, CASE WHEN me > gone THEN me::VARCHAR END AS seen FROM l JOIN e ON e.o = l.up AND e.id = l.id WHERE up > gone""",
+    "id_reserve": f"""WITH {V}, k AS (SELECT id, row_number() OVER (ORDER BY id) AS internal FROM v WHERE label < 5)
+        SELECT id, internal FROM k UNION ALL SELECT id, row_number() OVER (ORDER BY id) + (SELECT count(*) FROM k) FROM v WHERE label >= 5""",
+    "vec_l2_float": f"WITH {V}, q AS (SELECT list_transform(range(0, {DIM}), lambda i: (1.0::DOUBLE / (i + 1))::FLOAT) AS q) SELECT id, round(list_sum(list_transform(list_zip(f, q), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)), 6) AS l2sq FROM v, q",
+    "graph_search": searched("SELECT * FROM v"),
+    "graph_quantized_search": searched("SELECT * FROM v"),
+    "graph_live_search": searched("SELECT vec_id, id, CASE WHEN label = 5 THEN list_transform(f, lambda y: (y + 0.125)::FLOAT)::DOUBLE[] ELSE x END AS x FROM v WHERE label <> 4"),
+    "graph_compacted_search": searched("SELECT * FROM v WHERE label >= 5"),
+    "graph_compaction": f"""WITH {V}, {SEG.format(100)}, c AS (SELECT segment, count(*) FILTER (label >= 5) AS live FROM sg GROUP BY 1),
+        r AS (SELECT segment, sum(live) OVER (ORDER BY segment) AS so_far FROM c), m AS (SELECT segment FROM r WHERE so_far <= 120 OR segment = 0),
+        g AS (SELECT CASE WHEN segment IN (FROM m) THEN 0 ELSE segment END AS segment, id FROM sg WHERE (SELECT count(*) FROM m) < 2 OR label >= 5 OR segment NOT IN (FROM m))
+        SELECT segment::INT AS segment, min(id) AS first_id, max(id) AS last_id, count(*) AS nodes FROM g GROUP BY 1""",
     **{k: f"SELECT count(*) AS compared, true AS ok FROM embeddings WHERE vec_id % {EVERY} = 0" for k in ("graph_recall_ok", "hnsw_recall_ok", "hnsw_cosine_recall_ok", "ivf_recall_ok")},
     "hnsw_diagnostics": f"""WITH {V}, p AS (SELECT (row_number() OVER (ORDER BY id) - 1) // 500 AS segment FROM v)
         SELECT segment::INT AS segment, count(*) AS nodes, 0::BIGINT AS self_links, 0::BIGINT AS double_links, 0::BIGINT AS too_many, true AS ok FROM p GROUP BY 1""",

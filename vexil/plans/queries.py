@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import filters, ivf, maintenance, quantize, routing, search, text_index
 from ..sources import changes, vectors
+from ..sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The vectors that a multi-vector query asks for, the ids that batch and index queries ask for, and a fixed "now".
 ASKED = (3, 17, 42)
 EVERY = 100
+#: Points of a page of the vector map.
+PAGE = 180
 NOW = "2024-01-31 00:00:00"
 SHARDS = ["node-a", "node-b", "node-c", "node-d"]
 DIM = 64
@@ -137,6 +140,12 @@ def vec_kernels(spark, sf):
     return base(spark, sf).select("id", r(K.l2(v, q)).alias("l2"), r(K.squared_l2(v, q)).alias("l2sq"), r(K.cosine_distance(v, q)).alias("cosine"), r(K.inner_product_distance(v, q)).alias("ip"), r(K.norm(v)).alias("length"), F.isnan(K.l2(v, F.slice(q, 1, 3))).alias("mismatch"), K.cosine_distance(v, F.transform(q, lambda x: x * 0)).alias("zero"))
 
 
+@query
+def vec_l2_float(spark, sf):
+    q = K.literal([1 / (i + 1) for i in range(DIM)])
+    return base(spark, sf).select("id", F.round(K.squared_l2_float(F.col("values"), q), 6).alias("l2sq"))
+
+
 def _long(spark, sf, f: Callable[[Column, Column], Column]) -> DataFrame:
     other = K.literal([i / 10 for i in range(DIM)])
     return base(spark, sf).select("id", F.posexplode(f(F.col("values"), other)).alias("dim", "v")).select("id", "dim", F.round("v", 6).alias("value"))
@@ -255,10 +264,16 @@ def id_mapping(spark, sf):
     return changes.id_mapping(base(spark, sf))
 
 
+@query
+def id_reserve(spark, sf):
+    known = changes.id_mapping(base(spark, sf).where("label < 5"))
+    return changes.reserve(known, base(spark, sf).select("id").unionByName(base(spark, sf).where("label = 7").select("id")))
+
+
 @query
 def id_mapping_conflicts(spark, sf):
     known = changes.id_mapping(base(spark, sf))
-    other = base(spark, sf).where("vec_id < 50").select("id", F.when(F.col("vec_id") % 10 == 0, F.col("vec_id") + 2).otherwise(F.col("vec_id") + 1).alias("internal"))
+    other = base(spark, sf).select("id", F.when(F.col("vec_id") % 10 == 0, F.col("vec_id") + 2).otherwise(F.col("vec_id") + 1).alias("internal"))
     return changes.mapping_conflicts(known, other)
 
 
@@ -471,7 +486,8 @@ def vector_map(spark, sf):
 
 @query
 def vector_map_edges(spark, sf):
-    return maintenance.map_edges(maintenance.vector_map(base(spark, sf).where("vec_id < 300"), DIM, digits=6), digits=6)
+    """Of one page of the map, which is a page by nature."""
+    return maintenance.map_edges(maintenance.vector_map(base(spark, sf).orderBy("id").limit(PAGE), DIM, digits=6), digits=6)
 
 
 @query
@@ -539,6 +555,63 @@ def replay_metadata(spark, sf):
     return changes.state(log_).select("id", F.round(F.element_at("values", 1).cast("double"), 4).alias("value"), F.element_at("metadata", "seen").alias("seen"))
 
 
+def _searched(spark: SparkSession, sf: str, size: int) -> tuple[DataFrame, list[tuple[str, list[float]]]]:
+    """Packed segments, written to the cluster's folder, and what is asked."""
+    from ..operators import graph
+
+    index = written(graph.packed(graph.build(base(spark, sf), 16, 96, segment_size=size)))
+    return index, [(r["qid"], list(r["q"])) for r in asked(spark, sf).toLocalIterator()]
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query
+def graph_search(spark, sf):
+    """Segments of 100, each walked with a beam as wide, so that the result is the exact one."""
+    from ..operators import graph
+
+    index, qs = _searched(spark, sf, 100)
+    return _hits(graph.search(index, qs, 10, 100))
+
+
+@query
+def graph_quantized_search(spark, sf):
+    from ..operators import graph
+
+    index, qs = _searched(spark, sf, 100)
+    return _hits(graph.rescore(graph.search(graph.quantized(index), qs, 40, 100), base(spark, sf), qs, 10))
+
+
+@query
+def graph_live_search(spark, sf):
+    """The index before, label 5 moved and label 4 deleted since."""
+    from ..operators import graph
+
+    index, qs = _searched(spark, sf, 100)
+    moved = base(spark, sf).where("label = 5").withColumn("values", F.transform("values", lambda x: (x + 0.125).cast("float")))
+    return _hits(graph.search_live(index, moved, base(spark, sf).where("label = 4"), qs, 10, 100))
+
+
+@query
+def graph_compaction(spark, sf):
+    from ..operators import graph
+
+    index, _ = _searched(spark, sf, 100)
+    return graph.catalog(graph.compacted(index, base(spark, sf).where("label < 5").select("id"), 120)).select("segment", "first_id", "last_id", "nodes")
+
+
+@query
+def graph_compacted_search(spark, sf):
+    """Deleted ids are gone from merged segments and hidden in the others."""
+    from ..operators import graph
+
+    index, qs = _searched(spark, sf, 100)
+    gone = base(spark, sf).where("label < 5").select("id")
+    return _hits(graph.search(graph.compacted(index, gone, 120), qs, 10, 120, deleted=gone))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return knn_batch_l2(spark, sf)
 

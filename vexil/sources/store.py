@@ -22,7 +22,9 @@ class Conflict(ValueError):
     pass
 
 
-class Store:
+class Versions:
+    """Numbered records in a folder: each is written beside and renamed, so that readers see the last whole one."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
@@ -41,8 +43,9 @@ class Store:
         text = "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/{version:012d}.json").collect())
         return json.loads(text)
 
-    def _publish(self, old: dict, part: str, offset: int, whole: bool) -> int:
-        new = {"version": old["version"] + 1, "offset": offset, "parts": [part] if whole else [*old["parts"], part]}
+    def record(self, old: dict, **fields) -> int:
+        """Make ``old`` with ``fields`` the next version."""
+        new = {**old, **fields, "version": old["version"] + 1}
         target, temporary = self._path(f"{self.path}/manifests/{new['version']:012d}.json"), self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}")
         out = self.fs.create(temporary)
         out.write(bytearray(json.dumps(new).encode()))
@@ -51,6 +54,14 @@ class Store:
             raise Conflict(f"version {new['version']} was written meanwhile")
         return new["version"]
 
+    def new_part(self, old: dict) -> str:
+        return f"parts/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+
+
+class Store(Versions):
+    def _publish(self, old: dict, part: str, offset: int, whole: bool) -> int:
+        return self.record(old, offset=offset, parts=[part] if whole else [*old["parts"], part])
+
     def log(self, version: int | None = None) -> DataFrame:
         parts = self.manifest(version)["parts"]
         return self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{self.path}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], LOG_SCHEMA)
@@ -65,7 +76,7 @@ class Store:
     def append(self, op: str, rows: DataFrame) -> int:
         """Write changes of one kind; offsets follow the last one, in partitions, without a global sort."""
         old = self.manifest()
-        part = f"parts/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+        part = self.new_part(old)
         own = {f.name: f for f in rows.schema}
         values = F.col("values").cast("array<float>") if "values" in own else F.lit(None).cast("array<float>")
         metadata = F.col("metadata").cast("map<string,string>") if "metadata" in own else F.lit(None).cast("map<string,string>")
@@ -77,7 +88,7 @@ class Store:
     def append_log(self, log: DataFrame) -> int:
         """Write changes of all kinds as they are; their offsets follow the last one here and keep their order."""
         old = self.manifest()
-        part = f"parts/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+        part = self.new_part(old)
         low, high = log.agg(F.min("offset"), F.max("offset")).first()
         if low is None:
             return old["version"]
@@ -107,7 +118,7 @@ class Store:
     def compact(self) -> int:
         """Rewrite the current state as one part. Older versions stay readable."""
         old = self.manifest()
-        part = f"parts/{old['version'] + 1:012d}-{uuid.uuid4().hex}"
+        part = self.new_part(old)
         changes.state(self.log()).select("offset", F.lit("upsert").alias("op"), "id", "values", "metadata").write.parquet(f"{self.path}/{part}")
         return self._publish(old, part, old["offset"], True)
 
@@ -120,6 +131,49 @@ class Store:
         return raw.select(F.regexp_extract("path", r"(parts/.*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+class Blobs:
+    """Named blobs in a folder. A put is written beside and renamed, so that a reader sees the old content or the new."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, key: str):
+        if not key or key.startswith("/") or any(p in ("", ".", "..") or p.startswith(".put-") for p in key.split("/")):
+            raise ValueError(f"not a name of a blob: {key!r}")
+        return self._path(f"{self.path}/{key}")
+
+    def put(self, key: str, content: bytes) -> None:
+        at = self._at(key)
+        beside = self._path(at.getParent(), f".put-{uuid.uuid4().hex}")
+        out = self.fs.create(beside)
+        out.write(bytearray(content))
+        out.close()
+        if self.fs.exists(at):
+            self.fs.delete(at, False)
+        if not self.fs.rename(beside, at):
+            raise Conflict(key)
+
+    def get(self, key: str) -> bytes:
+        at = self._at(key)
+        if not self.fs.exists(at):
+            raise KeyError(key)
+        row = self.spark.read.format("binaryFile").load(at.toString()).first()  # Spark reads no row of an empty file
+        return bytes(row["content"]) if row else b""
+
+    def delete(self, key: str) -> None:
+        """A blob that isn't there is no fault."""
+        self.fs.delete(self._at(key), False)
+
+    def all(self, prefix: str = "") -> DataFrame:
+        """key, bytes, content of the blobs whose key begins with ``prefix``, empty ones left out; contents are read by executors."""
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
+        root = self.fs.makeQualified(self._path(self.path)).toString()
+        key = F.replace(F.col("path"), F.lit(f"{root}/"), F.lit(""))
+        return raw.select(key.alias("key"), F.col("length").alias("bytes"), "content").where(F.col("key").startswith(prefix))
+
+
 def export_snapshot(vectors: DataFrame, path: str) -> None:
     """JSON lines of id, values, metadata."""
     vectors.select("id", "values", "metadata").write.mode("overwrite").json(path)
