@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .langid import calibrating, held_out, identify, train
 from .mixing import mix
 from .near_dedup import near_dedup
+from .oracle import ORACLE as COUNTED
 from .packing import pack, pieces
 from .pii import BASE, EXTRA, find_pii
 from .quality import quality
@@ -92,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    **COUNTED,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
