@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.ranges import numbered
 from .search import rounded
 
 SAMPLE = 4096
@@ -23,20 +24,14 @@ def evenly(n: int, k: int) -> list[int]:
 
 
 def pick(vectors: DataFrame, k: int, order: str = "id") -> DataFrame:
-    """cid, c: k vectors evenly spaced in ``order``. Positions come from ranges and their sizes, not from one sorted task."""
+    """cid, c: k vectors evenly spaced in ``order``, a column of unique values. Only that column shuffles, to ranges; the vectors are then picked by it."""
     spark = vectors.sparkSession
-    rows = vectors.select(order, "values").repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
+    rows, total = numbered(vectors.select(order), order)
     if not total:
         return spark.createDataFrame([], "cid int, c array<double>")
     wanted = spark.createDataFrame([(i, at) for i, at in enumerate(evenly(total, k))], "cid int, _at long")
-    w = Window.partitionBy("_part").orderBy(order)
-    placed = rows.join(F.broadcast(spark.createDataFrame(before, "_part int, _before long")), "_part").withColumn("_at", F.row_number().over(w) - 1 + F.col("_before"))
-    return placed.join(F.broadcast(wanted), "_at").select("cid", F.col("values").cast("array<double>").alias("c"))
+    chosen = rows.join(F.broadcast(wanted), "_at").select(order, "cid")
+    return vectors.select(order, "values").join(F.broadcast(chosen), order).select("cid", F.col("values").cast("array<double>").alias("c"))
 
 
 def kmeans(vectors: DataFrame, k: int, iterations: int = 8, sample: int = SAMPLE, order: str = "id") -> DataFrame:

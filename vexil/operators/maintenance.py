@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.ranges import numbered
 
 HOT_HOURS, WARM_HOURS = 24, 7 * 24
 MAP_POINTS = 5000
@@ -68,17 +69,11 @@ def should_rebuild(tombstones: Column, nodes: Column, least: int = 1024, share:
 
 
 def percentiles(rows: DataFrame, value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """p, value by nearest rank. Ranks are found by sorting ranges, not in one task."""
-    spark = rows.sparkSession
-    own = rows.select(value).where(F.col(value).isNotNull()).repartitionByRange(value).withColumn("_part", F.spark_partition_id()).persist()
-    total, before = 0, []
-    for r in sorted(own.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        before.append((r["_part"], total))
-        total += r["n"]
-    wanted = spark.createDataFrame([(p, max(1, -(-total * p // 100))) for p in ps] if total else [], "p int, _at long")
-    w = Window.partitionBy("_part").orderBy(value)
-    at = own.join(F.broadcast(spark.createDataFrame(before, "_part int, _before long")), "_part").withColumn("_at", F.row_number().over(w) + F.col("_before"))
-    return at.join(F.broadcast(wanted), "_at").select("p", F.col(value).alias("value"))
+    """p, value by nearest rank. Ranks are found by sorting ranges, not in one task; rows of a frequent value go to several ranges."""
+    known = rows.select(value).where(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    own, total = numbered(known, value, "_tie")
+    wanted = rows.sparkSession.createDataFrame([(p, max(1, -(-total * p // 100)) - 1) for p in ps] if total else [], "p int, _at long")
+    return own.join(F.broadcast(wanted), "_at").select("p", F.col(value).alias("value"))
 
 
 def backup_verify(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.ranges import numbered
 
 
 def fnv64(text: str) -> int:
@@ -81,16 +82,9 @@ def conflicts(copies: DataFrame) -> DataFrame:
 
 
 def segments(vectors: DataFrame, size: int = 10_000, order: str = "id") -> DataFrame:
-    """``vectors`` with segment: runs of ``size`` in order. Ranges are numbered one by one, so no task sorts them all."""
-    spark = vectors.sparkSession
-    rows = vectors.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).persist()
-    total, before = 0, []
-    for r in sorted(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        before.append((r["_part"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(before, "_part int, _before long")
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
-    return rows.join(F.broadcast(offsets), "_part").withColumn("segment", F.floor(at / size).cast("int")).drop("_part", "_before")
+    """``vectors`` with segment: runs of ``size`` in order. Ranges are numbered one by one, so no task sorts them all; rows that share a place in it go either way."""
+    rows, _ = numbered(vectors, order)
+    return rows.withColumn("segment", F.floor(F.col("_at") / size).cast("int")).drop("_at")
 
 
 def routes(segmented: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from ..sources.vectors import MAX_DIM, MAX_K
 
 #: Numbers in the vectors of one block of queries; more queries go in several blocks, each a scan.
 BLOCK = 4_000_000
+#: Distances that a task holds at once.
+HELD = 4_000_000
 
 
 def check(q: list[float], k: int, max_k: int = MAX_K) -> None:
@@ -66,18 +68,21 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 def _scan(block: list[tuple[str, list[float], int]], metric: str):
     qid = np.array([b[0] for b in block], object)
     q = np.array([b[1] for b in block], np.float64)
-    most = max(b[2] for b in block)
+    ks = np.array([b[2] for b in block], np.int32)
+    most = int(ks.max())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             ids, v = b["id"].to_numpy(), np.stack(b["values"].to_numpy()).astype(np.float64)
-            d = _block_distance(q, v, metric)
-            k = min(most, len(v))
-            edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero(d <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])  # ties and rounding stay in
-            yield pd.DataFrame({"qid": qid[i], "id": ids[j], "distance": _exact(q[i], v[j], metric)})
+            k, step = min(most, len(v)), max(1, HELD // len(v))
+            for at in range(0, len(q), step):
+                d = _block_distance(q[at : at + step], v, metric)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+                i, j = np.nonzero(d <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])  # ties and rounding stay in
+                i += at
+                yield pd.DataFrame({"qid": qid[i], "id": ids[j], "distance": _exact(q[i], v[j], metric), "_k": ks[i]})
 
     return run
 
@@ -94,21 +99,20 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int
         raise ValueError("a query is empty, too long, or has k out of range")
     parts: list[DataFrame] = []
     held: list[tuple[str, list[float], int]] = []
-    unnamed, limits = 0, []
+    most = 0
 
     def scan() -> None:
         by_dim: dict[int, list] = {}
         for h in held:
             by_dim.setdefault(len(h[1]), []).append(h)
         for dim, own in by_dim.items():
-            parts.append(vectors.where(F.size("values") == dim).select("id", "values").mapInPandas(_scan(own, metric), "qid string, id string, distance double"))
+            parts.append(vectors.where(F.size("values") == dim).select("id", "values").mapInPandas(_scan(own, metric), "qid string, id string, distance double, _k int"))
         held.clear()
 
     for i, r in enumerate(rows.orderBy(F.col("qid").isNull(), "qid", "q").toLocalIterator()):
         name = r["qid"] if r["qid"] is not None else f"query-{i}"
-        unnamed += r["qid"] is None
         held.append((str(name), list(r["q"]), r["k"]))
-        limits.append((str(name), r["k"]))
+        most = max(most, r["k"])
         if sum(len(h[1]) for h in held) >= block:
             scan()
     if held:
@@ -120,12 +124,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int
         found = found.unionByName(p)
     d = F.sqrt("distance") if metric == "l2" and not squared else F.col("distance")
     found = found.withColumn("distance", rounded(d, digits)).where(~F.isnan("distance"))
-    most = max(n for _, n in limits)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= most)
-    if len({n for _, n in limits}) > 1:
-        own = vectors.sparkSession.createDataFrame(limits, "qid string, _k int")
-        ranked = ranked.join(F.broadcast(own), "qid").where(F.col("rank") <= F.col("_k")).drop("_k")
-    return ranked.select("qid", "id", "distance", "rank")
+    return ranked.where(F.col("rank") <= F.col("_k")).select("qid", "id", "distance", "rank")
 
 
 def knn_multi(vectors: DataFrame, qs: list[list[float]], k: int, metric: str = "l2", digits: int | None = None) -> DataFrame:

@@ -73,8 +73,9 @@ class Collection:
             hits = ivf.search(self.lists, self.centroids, one, k, self.nprobe)
         else:
             return search.knn(self.vectors, q, k, metric, asked)
-        hits = hits.select("id", (F.sqrt("distance") if metric == "l2" else F.col("distance")).alias("distance")).persist()
-        return hits.orderBy("distance", "id") if hits.limit(1).count() else search.knn(self.vectors, q, k, metric)
+        hits = hits.select("id", (F.sqrt("distance") if metric == "l2" else F.col("distance")).alias("distance")).orderBy("distance", "id")
+        found = hits.collect()  # k rows at most
+        return hits.sparkSession.createDataFrame(found, hits.schema) if found else search.knn(self.vectors, q, k, metric)
 
     def search_batch(self, queries: DataFrame, k: int | None = None, metric: str = "l2") -> DataFrame:
         return search.knn_batch(self.vectors, queries, metric, k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 OPS = ("upsert", "delete", "metadata")
 
 
@@ -57,22 +59,19 @@ def page(vectors: DataFrame, after: str | None, limit: int, ids_only: bool = Fal
 
 def id_mapping(vectors: DataFrame) -> DataFrame:
     """id, internal: dense numbers from 1 in order of id, from ranges and their sizes."""
-    from ..operators.routing import segments
-
-    return segments(vectors.select("id"), 1).select("id", (F.col("segment") + 1).cast("long").alias("internal"))
+    rows, _ = numbered(vectors.select("id"), "id")
+    return rows.select("id", (F.col("_at") + 1).alias("internal"))
 
 
 def reserve(known: DataFrame, ids: DataFrame) -> DataFrame:
     """id, internal of each distinct id asked for: its number if ``known`` has one, else dense new numbers after the greatest, in order of id. A blank id fails them all."""
-    from ..operators.routing import segments
-
     if ids.where(F.trim("id") == "").limit(1).count():
         raise ValueError("blank id")
     asked = ids.select("id").distinct()
     last = known.agg(F.coalesce(F.max("internal"), F.lit(0)).alias("_last"))  # one row
-    fresh = segments(asked.join(known.select("id"), "id", "left_anti"), 1).crossJoin(F.broadcast(last))
+    fresh = numbered(asked.join(known.select("id"), "id", "left_anti"), "id")[0].crossJoin(F.broadcast(last))
     old = known.select("id", F.col("internal").cast("long").alias("internal")).join(asked, "id", "left_semi")
-    return old.unionByName(fresh.select("id", (F.col("segment") + 1 + F.col("_last")).cast("long").alias("internal")))
+    return old.unionByName(fresh.select("id", (F.col("_at") + 1 + F.col("_last")).cast("long").alias("internal")))
 
 
 def mapping_conflicts(known: DataFrame, imported: DataFrame) -> DataFrame:
