@@ -55,15 +55,23 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     size 0 and are taken in whole epochs only. Order within a source is md5(seed:doc_id), then doc_id: reruns agree, and
     rows that repeat an id and size are interchangeable. ``carry`` names further columns to keep.
     """
-    docs = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *[c for c in carry if c not in ("doc_id", "source", "size")]).withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)))
+    kept = [c for c in carry if c not in ("doc_id", "source", "size")]
+    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *kept)
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = cut(sized.withColumn("_order", F.md5(named.cast("binary"))).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)))
     by_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     weighed = cut(ranked(by_source, "source").withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))))
-    goals = water_fill(weighed, share, cap).withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("_rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("_whole") * F.col("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("_whole") * F.col("source_size")
+    goals = water_fill(weighed, share, cap).withColumn("_whole", whole).withColumn("_rest", rest)
+    # The words of a source before each bucket, and whether what is left to take ends inside it: only then its rows are ordered.
     buckets = docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     so_far = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_low", F.coalesce(F.sum("_sum").over(so_far), F.lit(0))).join(goals.drop("rank", "weight"), buckets["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    buckets = cut(buckets.withColumn("_edge", (F.col("_low") < F.col("_rest")) & (F.col("_low") + F.col("_sum") > F.col("_rest"))))
+    buckets = buckets.withColumn("_low", F.coalesce(F.sum("_sum").over(so_far), F.lit(0)))
+    buckets = buckets.join(goals.drop("rank", "weight"), buckets["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    edge = (F.col("_low") < F.col("_rest")) & (F.col("_low") + F.col("_sum") > F.col("_rest"))
+    buckets = cut(buckets.withColumn("_edge", edge))
     both = docs.join(buckets.withColumnsRenamed({"source": "_s", "_bucket": "_b"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     within = Window.partitionBy("_s", "_b").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = both.where("_edge").withColumn("_low", F.col("_low") + F.coalesce(F.sum("size").over(within), F.lit(0)))
