@@ -65,9 +65,9 @@ def migrated(source: DataFrame, target: DataFrame, delta: DataFrame) -> DataFram
 
 
 def collection_checksum(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """records, checksum: a sum of record digests, so that partitions and order don't matter and partial sums add up."""
+    """records, checksum: a sum of record digests, so that partitions and order don't matter and partial sums add up. Digests of 48 bits overflow a long from 65,536 records on, so decimals add them up."""
     scaled = F.array_join(F.transform(F.col("values"), lambda v: F.round(v.cast("double") * 10**digits, 0).cast("long").cast("string")), ",")
-    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id"), scaled).cast("binary"), 256), 1, 12), 16, 10).cast("long")
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id"), scaled).cast("binary"), 256), 1, 12), 16, 10).cast("decimal(28,0)")
     return rows.agg(F.count(F.lit(1)).alias("records"), F.pmod(F.sum(digest), F.lit(1_000_000_007)).cast("long").alias("checksum"))
 
 
