@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from vexil.operators import routing
+from vexil.operators import graph, routing
 
 
 def test_checksum_of_more_records_than_a_long_adds_up(spark):
@@ -13,3 +13,23 @@ def test_checksum_of_more_records_than_a_long_adds_up(spark):
     total = sum(int(hashlib.sha256(f"{i}|5000".encode()).hexdigest()[:12], 16) for i in range(n))
     assert total >= 1 << 63
     assert tuple(routing.collection_checksum(v, 4).first()) == (n, total % 1_000_000_007)
+
+
+def twins(spark):
+    """40 vectors near the origin's one, of which the farther has the smaller id, by less than rounding to 6 digits shows; one is the very same."""
+    rows = [(f"v-{99 - i:02d}", [1.0 + i * 2.0**-23, 0.0]) for i in range(40)]
+    return spark.createDataFrame(rows, "id string, values array<float>")
+
+
+def first_ids(found):
+    return [(r["id"], r["distance"]) for r in found.orderBy("rank").collect()]
+
+
+#: Of the twins, rounded distances are all 0 and the ids decide.
+FIRST = [(f"v-{i}", 0.0) for i in range(60, 65)]
+
+
+def test_graph_search_ranks_rounded_distances(spark):
+    index = graph.packed(graph.build(twins(spark), 16, 96, segment_size=40))
+    assert first_ids(graph.search(index, [("q", [1.0, 0.0])], 5, 40, digits=6)) == FIRST
+    assert [i for i, _ in first_ids(graph.search(index, [("q", [1.0, 0.0])], 5, 40))] == [f"v-{99 - i}" for i in range(5)]

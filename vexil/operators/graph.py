@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .routing import segments
-from .search import knn_batch
+from .search import knn_batch, rounded
 
 NODES = "segment int, slot int, id string, values array<float>, level int, links array<array<int>>"
 
@@ -307,13 +307,23 @@ def _unpacked(r, metric: str) -> Graph:
     return graph
 
 
-def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", deleted: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", deleted: DataFrame | None = None, keep: int | None = None, digits: int | None = None) -> DataFrame:
     """qid, id, distance (L2 squared), rank, from packed() segments (or nodes, which are packed first); only hits shuffle.
 
     ``deleted`` ids still lead the walk but are not returned. With ``keep``, a query searches the segments that hold a vector
     whose signs differ from its own in at most that many places, or all if there is none. The queries are few and travel
-    with the tasks.
+    with the tasks. With ``digits``, distances are rounded first and ranked so, and those equal then go by id.
     """
+    return _ranked(_walked(index, queries, k, ef, metric, deleted, keep, digits), k, digits)
+
+
+def _ranked(hits: DataFrame, k: int, digits: int | None) -> DataFrame:
+    near = hits.select("qid", "id", rounded(F.col("distance"), digits).alias("distance"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def _walked(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int, metric: str, deleted: DataFrame | None, keep: int | None, digits: int | None) -> DataFrame:
+    """qid, id, distance of what each segment has for the ``k`` best, with all that ties there once rounded."""
     rows = index if "vectors" in index.columns else packed(index)
     if deleted is not None:
         ids = rows.select("segment", F.explode("ids").alias("id")).join(deleted.select("id").distinct(), "id", "left_semi")
@@ -333,6 +343,8 @@ def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef:
     else:
         rows = rows.withColumn("here", F.lit(None).cast("array<string>"))
 
+    slack = 0.0 if digits is None else 10.0**-digits
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
@@ -340,11 +352,14 @@ def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef:
                 gone = np.isin(ids, list(r.gone)) if r.gone is not None else None
                 here = None if r.here is None else set(r.here)
                 own = [(n, q) for n, q, _ in asked if len(q) == r.dim and (here is None or n in here)]
-                out = [(n, ids[s], d) for n, q in own for d, s in graph.search(q, k, ef, gone)]
+                out = []
+                for n, q in own:
+                    found = graph.search(q, max(k, ef), ef, gone)
+                    edge = found[k - 1][0] + slack if len(found) > k else math.inf
+                    out += [(n, ids[s], d) for d, s in found if d <= edge]
                 yield pd.DataFrame(out, columns=["qid", "id", "distance"])
 
-    hits = rows.drop("signatures").mapInPandas(run, "qid string, id string, distance double")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return rows.drop("signatures").mapInPandas(run, "qid string, id string, distance double")
 
 
 def edges(nodes: DataFrame) -> DataFrame:

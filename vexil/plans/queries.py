@@ -573,7 +573,7 @@ def graph_search(spark, sf):
     from ..operators import graph
 
     index, qs = _searched(spark, sf, 100)
-    return _hits(graph.search(index, qs, 10, 100))
+    return _hits(graph.search(index, qs, 10, 100, digits=6))
 
 
 @query
@@ -609,7 +609,7 @@ def graph_compacted_search(spark, sf):
 
     index, qs = _searched(spark, sf, 100)
     gone = base(spark, sf).where("label < 5").select("id")
-    return _hits(graph.search(graph.compacted(index, gone, 120), qs, 10, 120, deleted=gone))
+    return _hits(graph.search(graph.compacted(index, gone, 120), qs, 10, 120, deleted=gone, digits=6))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
