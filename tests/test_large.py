@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vexil.operators import graph, routing
@@ -33,3 +34,25 @@ def test_graph_search_ranks_rounded_distances(spark):
     index = graph.packed(graph.build(twins(spark), 16, 96, segment_size=40))
     assert first_ids(graph.search(index, [("q", [1.0, 0.0])], 5, 40, digits=6)) == FIRST
     assert [i for i, _ in first_ids(graph.search(index, [("q", [1.0, 0.0])], 5, 40))] == [f"v-{99 - i}" for i in range(5)]
+
+
+def test_quantized_search_leaves_nothing_out_and_ranks_rounded_distances(spark):
+    """50 vectors share their codes with a nearer one, so that no fixed number of candidates does."""
+    rows = [(f"a-{i:02d}", [0.5 + (50 - i) * 2e-5, 0.0]) for i in range(50)] + [("lo", [0.0, 0.0]), ("z-hi", [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id string, values array<float>").unionByName(twins(spark))
+    index, qs = graph.packed(graph.build(v, 16, 96, segment_size=100)).persist(), [("p", [0.3, 0.0]), ("q", [1.0, 0.0])]
+    found = graph.rescore(graph.candidates(graph.quantized(index), qs, 5, 100, digits=6), v, qs, 5, digits=6).persist()
+    assert [i for i, _ in first_ids(found.where("qid = 'p'"))] == ["a-49", "a-48", "a-47", "a-46", "a-45"]
+    assert first_ids(found.where("qid = 'q'")) == FIRST
+
+
+def test_bounds_hold_for_all_metrics():
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(500, 8)), rng.normal(size=8)
+    v[:3] *= 1e-3
+    by = rng.normal(size=v.shape)
+    real = v + by / np.linalg.norm(by, axis=1)[:, None] * 0.01
+    for metric in ("l2", "inner_product", "cosine"):
+        least, most = graph._bounds(graph.distances(v, q, metric), 0.01, q, v, metric)
+        d = graph.distances(real, q, metric)
+        assert (least <= d + 1e-12).all() and (d <= most + 1e-12).all()

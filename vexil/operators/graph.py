@@ -87,7 +87,7 @@ class Graph:
         heapq.heapify(todo)
         best = [(-x, -s) for x, s in todo if banned is None or not banned[s]]
         heapq.heapify(best)
-        while todo:
+        while todo and len(seen) < len(self.v):  # nothing is left to find once all are seen
             x, s = heapq.heappop(todo)
             if len(best) >= ef and x > -best[0][0]:
                 break
@@ -275,13 +275,21 @@ def compacted(index: DataFrame, deleted: DataFrame, most: int = 10_000, m: int =
     return index.join(chosen, "segment", "left_anti").unionByName(packed(merged), allowMissingColumns=True)
 
 
-def rescore(hits: DataFrame, vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2") -> DataFrame:
-    """qid, id, distance (L2 squared), rank of the ``k`` best of hits(qid, id), measured on the stored vectors; ids that are gone or of another dimension drop out."""
+def candidates(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", deleted: DataFrame | None = None, keep: int | None = None, digits: int | None = None) -> DataFrame:
+    """qid, id of all the walk meets that can be among the ``k`` best (or tie with them at ``digits``), given how far quantized vectors may be from those they stand for. For rescore()."""
+    hits = _walked(index, queries, k, ef, metric, deleted, keep, digits)
+    own = Window.partitionBy("qid")
+    placed = hits.withColumn("_n", F.row_number().over(own.orderBy("most", "id")))
+    edged = placed.withColumn("_edge", F.max(F.when(F.col("_n") <= k, F.col("most"))).over(own))
+    return edged.where(F.col("least") <= F.col("_edge") + _slack(digits)).select("qid", "id")
+
+
+def rescore(hits: DataFrame, vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", digits: int | None = None) -> DataFrame:
+    """qid, id, distance (L2 squared), rank of the ``k`` best of hits(qid, id), measured on the stored vectors; ids that are gone or of another dimension drop out. ``digits`` as in search()."""
     qs = vectors.sparkSession.createDataFrame([(n, [float(x) for x in q]) for n, q in queries], "qid string, _q array<double>")
     near = vectors.select("id", "values").join(hits.select("qid", "id").distinct(), "id").join(qs, "qid")
     d = K.distance(metric, F.col("_q"), F.col("values"), squared=True)
-    scored = near.select("qid", "id", d.alias("distance")).where(~F.isnan("distance"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return _ranked(near.select("qid", "id", d.alias("distance")).where(~F.isnan("distance")), k, digits)
 
 
 def search_live(index: DataFrame, changed: DataFrame, deleted: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2") -> DataFrame:
@@ -317,13 +325,40 @@ def search(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef:
     return _ranked(_walked(index, queries, k, ef, metric, deleted, keep, digits), k, digits)
 
 
+def _slack(digits: int | None) -> float:
+    """What distances that are equal once rounded may be apart."""
+    return 0.0 if digits is None else 10.0**-digits
+
+
+def _off(r) -> float:
+    """How far a vector of a packed row may be from the one that its codes stand for: half a step in each dimension, and what float arithmetic adds."""
+    if getattr(r, "lo", None) is None:
+        return 0.0
+    lo, hi = np.frombuffer(r.lo, np.float32).astype(np.float64), np.frombuffer(r.hi, np.float32).astype(np.float64)
+    return float(np.linalg.norm((hi - lo) / 510) * 1.001 + 1e-6 * np.linalg.norm(np.maximum(np.abs(lo), np.abs(hi))))
+
+
+def _bounds(d: np.ndarray, off: float, q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance that vectors at most ``off`` from ``v`` can have, whose own is ``d``."""
+    if not off:
+        return d, d
+    if metric == "l2":
+        root = np.sqrt(d)
+        return np.maximum(root - off, 0) ** 2, (root + off) ** 2
+    if metric == "inner_product":
+        by = np.full(len(d), off * np.linalg.norm(q))
+    else:  # directions of vectors ``off`` apart differ by at most twice that over the length of either
+        by = np.minimum(2, 2 * off / np.maximum(np.linalg.norm(v, axis=1), 1e-300))
+    return d - by, d + by
+
+
 def _ranked(hits: DataFrame, k: int, digits: int | None) -> DataFrame:
     near = hits.select("qid", "id", rounded(F.col("distance"), digits).alias("distance"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
 def _walked(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int, metric: str, deleted: DataFrame | None, keep: int | None, digits: int | None) -> DataFrame:
-    """qid, id, distance of what each segment has for the ``k`` best, with all that ties there once rounded."""
+    """qid, id, distance, least, most (bounds of the distance before quantizing) of what each segment has for the ``k`` best, with all that ties there once rounded."""
     rows = index if "vectors" in index.columns else packed(index)
     if deleted is not None:
         ids = rows.select("segment", F.explode("ids").alias("id")).join(deleted.select("id").distinct(), "id", "left_semi")
@@ -343,23 +378,28 @@ def _walked(index: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef
     else:
         rows = rows.withColumn("here", F.lit(None).cast("array<string>"))
 
-    slack = 0.0 if digits is None else 10.0**-digits
+    slack = _slack(digits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                graph, ids = _unpacked(r, metric), np.asarray(r.ids, object)
+                graph, ids, off = _unpacked(r, metric), np.asarray(r.ids, object), _off(r)
                 gone = np.isin(ids, list(r.gone)) if r.gone is not None else None
                 here = None if r.here is None else set(r.here)
                 own = [(n, q) for n, q, _ in asked if len(q) == r.dim and (here is None or n in here)]
                 out = []
                 for n, q in own:
                     found = graph.search(q, max(k, ef), ef, gone)
-                    edge = found[k - 1][0] + slack if len(found) > k else math.inf
-                    out += [(n, ids[s], d) for d, s in found if d <= edge]
-                yield pd.DataFrame(out, columns=["qid", "id", "distance"])
-
-    return rows.drop("signatures").mapInPandas(run, "qid string, id string, distance double")
+                    if not found:
+                        continue
+                    d, at = np.array([x for x, _ in found]), np.array([s for _, s in found])
+                    least, most = _bounds(d, off, q, graph.v[at], metric)
+                    edge = np.partition(most, k - 1)[k - 1] + slack if len(d) > k else math.inf
+                    out.append(pd.DataFrame({"qid": n, "id": ids[at], "distance": d, "least": least, "most": most})[least <= edge])
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+    return rows.drop("signatures").mapInPandas(run, "qid string, id string, distance double, least double, most double")
 
 
 def edges(nodes: DataFrame) -> DataFrame:

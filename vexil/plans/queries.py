@@ -578,10 +578,12 @@ def graph_search(spark, sf):
 
 @query
 def graph_quantized_search(spark, sf):
+    """Codes are walked; all that their bounds leave open is measured on the stored vectors."""
     from ..operators import graph
 
     index, qs = _searched(spark, sf, 100)
-    return _hits(graph.rescore(graph.search(graph.quantized(index), qs, 40, 100), base(spark, sf), qs, 10))
+    near = graph.candidates(graph.quantized(index), qs, 10, 100, digits=6)
+    return _hits(graph.rescore(near, base(spark, sf), qs, 10, digits=6))
 
 
 @query
