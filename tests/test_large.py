@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from vexil.operators import graph, routing
+from vexil.operators import graph, routing, search
 
 
 def test_checksum_of_more_records_than_a_long_adds_up(spark):
@@ -56,3 +56,23 @@ def test_bounds_hold_for_all_metrics():
         least, most = graph._bounds(graph.distances(v, q, metric), 0.01, q, v, metric)
         d = graph.distances(real, q, metric)
         assert (least <= d + 1e-12).all() and (d <= most + 1e-12).all()
+
+
+def test_live_search_ranks_rounded_distances(spark):
+    """The twins as an index, as what changed since, and half of them each; a deleted one is nowhere."""
+    all_ = twins(spark)
+    index, none = graph.packed(graph.build(all_, 16, 96, segment_size=40)).persist(), all_.limit(0)
+    gone, qs = all_.where("id = 'v-61'").select("id"), [("q", [1.0, 0.0])]
+    for changed in (none, all_.coalesce(1), all_.where("int(substr(id, 3)) % 2 = 0").coalesce(1)):
+        assert first_ids(graph.search_live(index, changed, gone, qs, 4, 40, digits=6)) == [FIRST[0], *FIRST[2:]]
+
+
+def test_batch_search_ranks_rounded_distances(spark):
+    """Roots as well."""
+    v = twins(spark).coalesce(1)
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("far", [-1.0, 0.0])], "qid string, q array<double>")
+    for squared in (True, False):
+        found = search.knn_batch(v, q, k=5, squared=squared, digits=6).persist()
+        assert first_ids(found.where("qid = 'q'"))[0][0] == ("v-60" if squared else "v-95")
+        want = search.knn_batch(v, q, k=40, squared=squared, digits=6).where("rank <= 5")
+        assert first_ids(found.where("qid = 'far'")) == first_ids(want.where("qid = 'far'"))

@@ -292,13 +292,13 @@ def rescore(hits: DataFrame, vectors: DataFrame, queries: list[tuple[str, list[f
     return _ranked(near.select("qid", "id", d.alias("distance")).where(~F.isnan("distance")), k, digits)
 
 
-def search_live(index: DataFrame, changed: DataFrame, deleted: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2") -> DataFrame:
+def search_live(index: DataFrame, changed: DataFrame, deleted: DataFrame, queries: list[tuple[str, list[float]]], k: int, ef: int = 64, metric: str = "l2", digits: int | None = None) -> DataFrame:
     """As search(), of an index and what changed since: ``changed`` vectors (new, moved or revived) are scanned exactly and hide the index's own, ``deleted`` ids are nowhere."""
     fresh = changed.select("id", "values").join(deleted.select("id"), "id", "left_anti")
     hidden = deleted.select("id").unionByName(changed.select("id"))
     qs = index.sparkSession.createDataFrame([(n, [float(x) for x in q]) for n, q in queries], "qid string, q array<double>")
-    both = search(index, queries, k, ef, metric, hidden).drop("rank").unionByName(knn_batch(fresh, qs, metric, k, squared=True).drop("rank"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    both = search(index, queries, k, ef, metric, hidden, digits=digits).drop("rank").unionByName(knn_batch(fresh, qs, metric, k, squared=True, digits=digits).drop("rank"))
+    return _ranked(both, k, digits)
 
 
 def _unpacked(r, metric: str) -> Graph:

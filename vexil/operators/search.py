@@ -65,7 +65,8 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.where(n > 0, 1 - p / np.where(n > 0, n, 1), 1.0)
 
 
-def _scan(block: list[tuple[str, list[float], int]], metric: str):
+def _scan(block: list[tuple[str, list[float], int]], metric: str, root: bool = False, slack: float = 0.0):
+    """``slack``: what distances (their roots, with ``root``) that are equal once rounded may be apart."""
     qid = np.array([b[0] for b in block], object)
     q = np.array([b[1] for b in block], np.float64)
     ks = np.array([b[2] for b in block], np.int32)
@@ -80,6 +81,7 @@ def _scan(block: list[tuple[str, list[float], int]], metric: str):
             for at in range(0, len(q), step):
                 d = _block_distance(q[at : at + step], v, metric)
                 edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+                edge = (np.sqrt(edge) + slack) ** 2 if root else edge + slack
                 i, j = np.nonzero(d <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])  # ties and rounding stay in
                 i += at
                 yield pd.DataFrame({"qid": qid[i], "id": ids[j], "distance": _exact(q[i], v[j], metric), "_k": ks[i]})
@@ -100,13 +102,14 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int
     parts: list[DataFrame] = []
     held: list[tuple[str, list[float], int]] = []
     most = 0
+    root, slack = metric == "l2" and not squared, 0.0 if digits is None else 10.0**-digits
 
     def scan() -> None:
         by_dim: dict[int, list] = {}
         for h in held:
             by_dim.setdefault(len(h[1]), []).append(h)
         for dim, own in by_dim.items():
-            parts.append(vectors.where(F.size("values") == dim).select("id", "values").mapInPandas(_scan(own, metric), "qid string, id string, distance double, _k int"))
+            parts.append(vectors.where(F.size("values") == dim).select("id", "values").mapInPandas(_scan(own, metric, root, slack), "qid string, id string, distance double, _k int"))
         held.clear()
 
     for i, r in enumerate(rows.orderBy(F.col("qid").isNull(), "qid", "q").toLocalIterator()):
@@ -122,7 +125,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    d = F.sqrt("distance") if metric == "l2" and not squared else F.col("distance")
+    d = F.sqrt("distance") if root else F.col("distance")
     found = found.withColumn("distance", rounded(d, digits)).where(~F.isnan("distance"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= most)
     return ranked.where(F.col("rank") <= F.col("_k")).select("qid", "id", "distance", "rank")

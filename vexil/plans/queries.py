@@ -593,7 +593,7 @@ def graph_live_search(spark, sf):
 
     index, qs = _searched(spark, sf, 100)
     moved = base(spark, sf).where("label = 5").withColumn("values", F.transform("values", lambda x: (x + 0.125).cast("float")))
-    return _hits(graph.search_live(index, moved, base(spark, sf).where("label = 4"), qs, 10, 100))
+    return _hits(graph.search_live(index, moved, base(spark, sf).where("label = 4"), qs, 10, 100, digits=6))
 
 
 @query
